@@ -11,10 +11,12 @@ weighted Jaccard similarity.
 Bands of coordinates are joined, candidates are checked exactly on their shingles (0.8 or more), and
 links are closed to classes:
   1. equal texts are one vertex from the start, so copies are never paired;
-  2. in every band group each member is checked against the group's least vertex, one link a member;
-  3. classes are formed; in groups that still hold several classes, members of different classes are
-     checked too, so that no link is lost; classes are formed again.
-Groups are never gathered in one task; the least vertex comes from a partial aggregate.
+  2. in every band group each member is checked against the group's leader, the vertex that meets the most others in all
+     its groups (of copies with edits, their source), one link a member;
+  3. classes are formed; in groups that still hold several, a member of another class leads once more; then members of
+     different classes are checked too, so that no link is lost (of these, what differs in too many coordinates to be near
+     is left out within the join).
+Groups are never gathered in one task; leaders come from partial aggregates.
 
 Cases: a null text is a class of its own; texts that are equal (empty ones too) share a class; texts
 without a word are linked to nothing else; an empty table gives no rows; a repeated row is a copy;
@@ -105,6 +107,26 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return mix(keys + np.arange(k // rows, dtype=_U) * MIX_A).view(np.int64)
 
 
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, sixteen to a long."""
+    n, k = sig.shape
+    bits = np.zeros((n, -(-k // 16) * 16), _U)
+    bits[:, :k] = sig >> _U(60)
+    return (bits.reshape(n, -1, 16) << (np.arange(16, dtype=_U) * _U(4))).sum(2, dtype=_U).view(np.int64)
+
+
+def _apart(a: str, b: str, k: int = K) -> str:
+    """SQL for the number of coordinates in which two sketches differ."""
+    x = lambda i: f"({a}[{i}] ^ {b}[{i}])"
+    return " + ".join(f"bit_count(({x(i)} | shiftrightunsigned({x(i)}, 1) | shiftrightunsigned({x(i)}, 2) | shiftrightunsigned({x(i)}, 3)) & 1229782938247303441L)" for i in range(-(-k // 16)))
+
+
+def most_apart(similarity: float, k: int = K) -> int:
+    """Coordinates in which texts at the threshold may differ: the mean and 4.5 deviations, passed by all but three in a million."""
+    p = (1 - similarity) * 15 / 16
+    return int(np.ceil(k * p + 4.5 * np.sqrt(k * p * (1 - p))))
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(vertex, text) -> vertex, bands, regions (32-bit, distinct); a text is signed once in a task."""
     seen: set[int] = set()
@@ -128,15 +150,17 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not ids:
                 continue
             doc, region = elements(words)
-            bands = band_keys(dart_signatures(doc, region, len(ids)))
+            sig = dart_signatures(doc, region, len(ids))
+            bands, sketch = band_keys(sig), sketches(sig)
             off = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(ids)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.reshape(-1))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * sketch.shape[1]), pa.array(sketch.reshape(-1))),
                     pa.ListArray.from_arrays(pa.array(off), pa.array((region >> _U(32)).astype(np.uint32).view(np.int32))),
                 ],
-                names=["v", "bands", "regions"],
+                names=["v", "bands", "sketch", "regions"],
             )
 
 
@@ -169,25 +193,40 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, class_key (its class), class_id (least id of the class), class_size."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("v", F.xxhash64("text"))
-    signed = saved(rows.where("text is not null").select("v", "text").mapInArrow(_sign, "v long, bands array<long>, regions array<int>"), "signed")
+    signed = saved(rows.where("text is not null").select("v", "text").mapInArrow(_sign, "v long, bands array<long>, sketch array<long>, regions array<int>"), "signed")
     members = signed.select("v", F.explode("bands").alias("band")).groupBy("band", "v").agg(F.lit(1).alias("one")).select("band", "v")
-    least = members.groupBy("band").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a < z").select("band", "a")
-    groups = saved(members.join(least, "band"), "groups")  # band groups of two texts at least
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    groups = members.join(sizes, "band")  # band groups of two texts at least
+    degree = groups.groupBy("v").agg(F.sum("size").alias("degree"))
+    groups = saved(groups.drop("size").join(degree, "v").select("band", "v", "degree"), "groups")
     regions = signed.groupBy("v").agg(F.first("regions").alias("regions"))
     held = saved(regions.join(groups.select("v").distinct(), "v", "left_semi"), "regions")
-    pairs = groups.where("a < v").select("a", F.col("v").alias("b")).distinct()
-    edges = saved(_checked(pairs, held, similarity), "links")
+    lead = F.max(F.struct("degree", "v"))  # the text that meets the most others: of copies of one text with edits, that text
+    leads = groups.groupBy("band").agg(lead.alias("lead")).select("band", F.col("lead.v").alias("l"))
+    ordered = lambda df: df.select(F.least("l", "v").alias("a"), F.greatest("l", "v").alias("b")).where("a < b").distinct()
+    tried = saved(ordered(groups.join(leads, "band")), "pairs")
+    edges = saved(_checked(tried, held, similarity), "links")
     labels = components(edges)
-
-    # members of groups that still hold several classes
-    own = groups.join(labels, "v", "left").select("band", "v", F.coalesce("root", "v").alias("root"))
-    several = own.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    open_ = saved(own.join(several, "band"), "open")
-    x, y = open_.select("band", F.col("v").alias("a"), F.col("root").alias("x")), open_.select("band", F.col("v").alias("b"), F.col("root").alias("y"))
-    more = x.join(y, "band").where("x <> y and a < b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    extra = saved(_checked(more, held, similarity), "links")
-    if extra.limit(1).count():
-        labels = components(edges.union(extra))
+    for last in (False, True):
+        # groups that still hold several classes: first a second text leads, one of another class; then all pairs of different classes
+        own = groups.join(labels, "v", "left").select("band", "v", "degree", F.coalesce("root", "v").alias("root"))
+        several = own.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+        open_ = saved(own.join(several, "band"), "open")
+        if last:
+            seen = open_.join(signed.groupBy("v").agg(F.first("sketch").alias("sketch"), F.first(F.size("regions")).alias("w")), "v")
+            x = seen.select("band", F.col("v").alias("l"), F.col("root").alias("x"), F.col("sketch").alias("sx"), F.col("w").alias("wx"))
+            y = seen.select("band", "v", F.col("root").alias("y"), F.col("sketch").alias("sy"), F.col("w").alias("wy"))
+            near = f"x <> y and l < v and least(wx, wy) >= {similarity} * greatest(wx, wy) and {_apart('sx', 'sy')} <= {most_apart(similarity)}"
+            more = ordered(x.join(y, "band").where(near))
+        else:
+            first = open_.join(leads, "band").where("v = l").select("band", F.col("root").alias("fr"))
+            second = open_.join(first, "band").where("root <> fr").groupBy("band").agg(lead.alias("lead"), F.max_by("root", F.struct("degree", "v")).alias("lr")).select("band", F.col("lead.v").alias("l"), "lr")
+            more = ordered(open_.join(second, "band").where("root <> lr"))
+        more = saved(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+        extra = saved(_checked(more, held, similarity), "links")
+        if extra.limit(1).count():
+            edges, tried = edges.union(extra), tried.union(more)
+            labels = components(edges)
     free_shuffles(docs.sparkSession)
 
     small = rows.select("id", "v", F.col("text").isNull().alias("none")).join(labels, "v", "left")

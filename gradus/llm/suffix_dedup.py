@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import MIX_A, free_shuffles, mix, saved
 
 WINDOW, SEED, PIECE = 200, 32, 1 << 19
+FEW = 100_000  # intervals of big blocks that may be sent to every shard
 BIG = 2000  # contexts of a seed block beyond which it is dealt to several shards
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 5
@@ -255,6 +256,20 @@ def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(us[lo : lo + 2000][owner]), pa.array(firsts[lo : lo + 2000][owner] + starts - base[owner]), pa.array(h.view(np.int64))], names=["u", "start", "h"])
 
 
+def _marked(contexts: DataFrame, known: np.ndarray) -> DataFrame:
+    """Runs of the windows of big blocks whose hash is among the known ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _intervals(batches):
+            u, start, h = (b.column(i).to_numpy() for i in range(3))
+            hit = np.isin(h, known)
+            if hit.any():
+                u, lo, hi = _runs(u[hit], start[hit])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(lo), pa.array(hi)], names=["u", "first", "last"])
+
+    return contexts.mapInArrow(run, "u long, first long, last long")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """u, first, last: runs of window starts that are repeated, for texts (u, raw) given once or more."""
     spark = docs.sparkSession
@@ -282,7 +297,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     small = cut.where("part = 0").repartition(shards, "seed").sortWithinPartitions("seed").select("u", "seed", "first", "bytes").mapInArrow(_merge_shard, "u long, first long, last long")
     big = cut.where("part = 1").select("u", "seed", "first", "bytes").mapInArrow(_intervals, "u long, start long, h long")
     again = big.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("h").alias("g"))
-    merged = big.join(again, F.col("h") == F.col("g")).select("u", F.col("start").alias("first"), F.col("start").alias("last"))
+    again = saved(again, "intervals")
+    if again.count() <= FEW:  # a counted handful of long intervals: their hashes go to the shards, which answer with runs
+        merged = _marked(cut.where("part = 1").select("u", "seed", "first", "bytes"), np.sort(np.array([r["g"] for r in again.collect()], np.int64)))
+    else:
+        merged = big.join(again, F.col("h") == F.col("g")).select("u", F.col("start").alias("first"), F.col("start").alias("last"))
     return saved(certain.union(small).union(merged), "repeats")
 
 
