@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import ascii_words, fold, saved
 
 FIT_ROWS, PER_DOC = 8_000, 6
-LANDMARKS, NEUTRAL, CANDIDATES = 64, 8, 1500
+LANDMARKS, NEUTRAL, CANDIDATES = 64, 8, 1000
 GAP, DECAY = 2, 0.5
 LEAST = 0.3  # kernel values below count as 0
 CUT = 0.3
@@ -108,8 +108,9 @@ class Kernel:
 
     def rows(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        for lo in range(0, len(words), 10_000):
-            who, what, value = features(words[lo : lo + 10_000])
+        step = max(20, 300_000 // max(1, len(self.landmarks)))  # bounds what is looked up at once
+        for lo in range(0, len(words), step):
+            who, what, value = features(words[lo : lo + step])
             place = self.place[what]
             hit = np.flatnonzero(place >= 0)
             if len(hit):
