@@ -13,9 +13,8 @@ links are closed to classes:
   1. equal texts are one vertex from the start, so copies are never paired;
   2. in every band group each member is checked against the group's leader, the vertex that meets the most others in all
      its groups (of copies with edits, their source), one link a member;
-  3. classes are formed; in groups that still hold several, a member of another class leads once more; then members of
-     different classes are checked too, so that no link is lost (of these, what differs in too many coordinates to be near
-     is left out within the join).
+  3. classes are formed; in groups that still hold several, members of different classes are paired if they differ from the
+     leader in the same regions, by a join on the rarest of these that loses no link (see _across), and checked too.
 Groups are never gathered in one task; leaders come from partial aggregates.
 
 Cases: a null text is a class of its own; texts that are equal (empty ones too) share a class; texts
@@ -107,26 +106,6 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return mix(keys + np.arange(k // rows, dtype=_U) * MIX_A).view(np.int64)
 
 
-def sketches(sig: np.ndarray) -> np.ndarray:
-    """Four bits of each coordinate, sixteen to a long."""
-    n, k = sig.shape
-    bits = np.zeros((n, -(-k // 16) * 16), _U)
-    bits[:, :k] = sig >> _U(60)
-    return (bits.reshape(n, -1, 16) << (np.arange(16, dtype=_U) * _U(4))).sum(2, dtype=_U).view(np.int64)
-
-
-def _apart(a: str, b: str, k: int = K) -> str:
-    """SQL for the number of coordinates in which two sketches differ."""
-    x = lambda i: f"({a}[{i}] ^ {b}[{i}])"
-    return " + ".join(f"bit_count(({x(i)} | shiftrightunsigned({x(i)}, 1) | shiftrightunsigned({x(i)}, 2) | shiftrightunsigned({x(i)}, 3)) & 1229782938247303441L)" for i in range(-(-k // 16)))
-
-
-def most_apart(similarity: float, k: int = K) -> int:
-    """Coordinates in which texts at the threshold may differ: the mean and 4.5 deviations, passed by all but three in a million."""
-    p = (1 - similarity) * 15 / 16
-    return int(np.ceil(k * p + 4.5 * np.sqrt(k * p * (1 - p))))
-
-
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(vertex, text) -> vertex, bands, regions (32-bit, distinct); a text is signed once in a task."""
     seen: set[int] = set()
@@ -151,16 +130,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             doc, region = elements(words)
             sig = dart_signatures(doc, region, len(ids))
-            bands, sketch = band_keys(sig), sketches(sig)
+            bands = band_keys(sig)
             off = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(ids)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.reshape(-1))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * sketch.shape[1]), pa.array(sketch.reshape(-1))),
                     pa.ListArray.from_arrays(pa.array(off), pa.array((region >> _U(32)).astype(np.uint32).view(np.int32))),
                 ],
-                names=["v", "bands", "sketch", "regions"],
+                names=["v", "bands", "regions"],
             )
 
 
@@ -174,6 +152,33 @@ def _checked(pairs: DataFrame, regions: DataFrame, similarity: float) -> DataFra
     return joined.where(both >= similarity * (F.size("ra") + F.size("rb") - both)).select("a", "b")
 
 
+def _across(open_: DataFrame, regions: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b) of different classes that share a band; no pair of similarity `similarity` is missed.
+
+    Texts x and y of n regions are similar if |x - y| + |y - x| is at most far * (nx + ny). Let X and Y be what x and y differ
+    in from the leader of their band, y being of another class than the leader, so not similar to it: |Y| > far * (ny + nl).
+    As X and Y differ in what x and y differ in, they share (|X| + |Y| - far * (nx + ny)) / 2 members at least, more than
+    (|X| + far * (nl - nx)) / 2. So of the members of X, rarest first, one of the first |X| - that + 1 is in Y.
+    """
+    far = (1 - similarity) / (1 + similarity)
+    leads = open_.groupBy("band").agg(F.max(F.struct("degree", "v", "root")).alias("lead")).select("band", F.col("lead.v").alias("l"), F.col("lead.root").alias("lroot"))
+    members = open_.join(leads, "band").where("v <> l").select("l", "v", "root", (F.col("root") != F.col("lroot")).alias("other")).distinct()
+    both = members.join(regions.select("v", F.col("regions").alias("r")), "v").join(regions.select(F.col("v").alias("l"), F.col("regions").alias("rl")), "l")
+    diff = F.concat(F.array_except("r", "rl"), F.array_except("rl", "r"))
+    least = F.floor((F.size("diff") + far * (F.size("rl") - F.size("r"))) / 2 - 1e-6).cast("int") + 1
+    diffs = saved(both.withColumn("diff", diff).select("l", "v", "root", "other", F.size("r").alias("n"), F.size("diff").alias("d"), least.alias("least"), "diff"), "diffs")
+    met = diffs.select("l", "other", F.explode("diff").alias("token")).groupBy("l", "token").agg(F.count(F.lit(1)).alias("df"), F.max("other").alias("any")).where("df > 1 and any").drop("any")
+    shared = diffs.select("l", "v", F.explode("diff").alias("token")).join(met, ["l", "token"])
+    shared = shared.groupBy("l", "v").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))  # at most two texts long
+    rows = saved(diffs.drop("diff").join(shared, ["l", "v"]).withColumn("s", F.size("ts")), "shared")
+    side = lambda df, tag, ts: df.select("l", F.explode(ts).alias("t"), *[F.col(c).alias(c + tag) for c in ("v", "root", "other", "n", "d", "s")]).select("l", F.col("t.token").alias("token"), "*").drop("t")
+    x = side(rows.where("s >= least"), "x", F.expr("slice(ts, 1, s - least + 1)"))
+    y = side(rows.where("other"), "y", F.col("ts")).select(F.col("l").alias("ly"), F.col("token").alias("ty"), "vy", "rooty", "ny", "dy", "sy")
+    fits = f"rootx <> rooty and (not otherx or vx < vy) and least(nx, ny) >= {similarity} * greatest(nx, ny) and 2 * least(sx, sy) >= dx + dy - {far} * (nx + ny) - 0.000001"
+    pairs = x.join(y, (F.col("l") == F.col("ly")) & (F.col("token") == F.col("ty")) & F.expr(fits))
+    return pairs.select(F.least("vx", "vy").alias("a"), F.greatest("vx", "vy").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of the edges: least-neighbour hooking and pointer jumping until nothing changes."""
     both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
@@ -193,7 +198,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, class_key (its class), class_id (least id of the class), class_size."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("v", F.xxhash64("text"))
-    signed = saved(rows.where("text is not null").select("v", "text").mapInArrow(_sign, "v long, bands array<long>, sketch array<long>, regions array<int>"), "signed")
+    signed = saved(rows.where("text is not null").select("v", "text").mapInArrow(_sign, "v long, bands array<long>, regions array<int>"), "signed")
     members = signed.select("v", F.explode("bands").alias("band")).groupBy("band", "v").agg(F.lit(1).alias("one")).select("band", "v")
     sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     groups = members.join(sizes, "band")  # band groups of two texts at least
@@ -207,26 +212,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     tried = saved(ordered(groups.join(leads, "band")), "pairs")
     edges = saved(_checked(tried, held, similarity), "links")
     labels = components(edges)
-    for last in (False, True):
-        # groups that still hold several classes: first a second text leads, one of another class; then all pairs of different classes
-        own = groups.join(labels, "v", "left").select("band", "v", "degree", F.coalesce("root", "v").alias("root"))
-        several = own.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-        open_ = saved(own.join(several, "band"), "open")
-        if last:
-            seen = open_.join(signed.groupBy("v").agg(F.first("sketch").alias("sketch"), F.first(F.size("regions")).alias("w")), "v")
-            x = seen.select("band", F.col("v").alias("l"), F.col("root").alias("x"), F.col("sketch").alias("sx"), F.col("w").alias("wx"))
-            y = seen.select("band", "v", F.col("root").alias("y"), F.col("sketch").alias("sy"), F.col("w").alias("wy"))
-            near = f"x <> y and l < v and least(wx, wy) >= {similarity} * greatest(wx, wy) and {_apart('sx', 'sy')} <= {most_apart(similarity)}"
-            more = ordered(x.join(y, "band").where(near))
-        else:
-            first = open_.join(leads, "band").where("v = l").select("band", F.col("root").alias("fr"))
-            second = open_.join(first, "band").where("root <> fr").groupBy("band").agg(lead.alias("lead"), F.max_by("root", F.struct("degree", "v")).alias("lr")).select("band", F.col("lead.v").alias("l"), "lr")
-            more = ordered(open_.join(second, "band").where("root <> lr"))
-        more = saved(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-        extra = saved(_checked(more, held, similarity), "links")
-        if extra.limit(1).count():
-            edges, tried = edges.union(extra), tried.union(more)
-            labels = components(edges)
+    # groups that still hold several classes: texts of different classes that part from the leader in the same regions
+    own = groups.join(labels, "v", "left").select("band", "v", "degree", F.coalesce("root", "v").alias("root"))
+    several = own.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    more = saved(_across(saved(own.join(several, "band"), "open"), held, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
+    extra = saved(_checked(more, held, similarity), "links")
+    if extra.limit(1).count():
+        labels = components(edges.union(extra))
     free_shuffles(docs.sparkSession)
 
     small = rows.select("id", "v", F.col("text").isNull().alias("none")).join(labels, "v", "left")
