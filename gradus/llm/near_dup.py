@@ -35,6 +35,7 @@ from .common import MIX_A, ascii_words, free_shuffles, hashed, mix, saved, windo
 
 K, ROWS = 120, 5
 WORDS_PER_SHINGLE, SIMILARITY = 5, 0.8
+SIEVE = 1 << 16
 _U = np.uint64
 
 
@@ -152,6 +153,13 @@ def _checked(pairs: DataFrame, regions: DataFrame, similarity: float) -> DataFra
     return joined.where(both >= similarity * (F.size("ra") + F.size("rb") - both)).select("a", "b")
 
 
+def _sifted(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose v may be among those of keys, before a shuffle: a bitmap of SIEVE longs, of one size whatever the input."""
+    bit = "shiftleft(1L, cast(shiftright(v, 16) & 63 as int))"
+    sieve = keys.groupBy((F.expr(f"v & {SIEVE - 1}")).alias("slot")).agg(F.expr(f"bit_or({bit})").alias("bits"))
+    return rows.join(F.broadcast(sieve), F.expr(f"slot = v & {SIEVE - 1}")).where(F.expr(f"(bits & {bit}) != 0")).drop("slot", "bits")
+
+
 def _across(open_: DataFrame, regions: DataFrame, similarity: float) -> DataFrame:
     """Candidates (a, b) of different classes that share a band; no pair of similarity `similarity` is missed.
 
@@ -204,7 +212,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     groups = members.join(sizes, "band")  # band groups of two texts at least
     degree = groups.groupBy("v").agg(F.sum("size").alias("degree"))
     groups = saved(groups.drop("size").join(degree, "v").select("band", "v", "degree"), "groups")
-    regions = signed.groupBy("v").agg(F.first("regions").alias("regions"))
+    regions = _sifted(signed.select("v", "regions"), groups).groupBy("v").agg(F.first("regions").alias("regions"))
     held = saved(regions.join(groups.select("v").distinct(), "v", "left_semi"), "regions")
     lead = F.max(F.struct("degree", "v"))  # the text that meets the most others: of copies of one text with edits, that text
     leads = groups.groupBy("band").agg(lead.alias("lead")).select("band", F.col("lead.v").alias("l"))
