@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, saved
+from .common import first_by_hash, fold, saved
 from .text_stats import FEATURES, text_stats
 
 FIT_ROWS = 20_000
@@ -82,7 +82,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     marks = marks.where(fold(F.col("doc_id"), folds) != held)
     share = marks.agg(F.avg(F.col("quality").cast("double"))).first()[0]
     good = marks.where("quality = 1").select(F.col("doc_id").alias("id"))
-    take = lambda df: np.array([r["x"] for r in df.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("x").collect()]).reshape(-1, len(FEATURES))
+    take = lambda df: np.array([r["x"] for r in first_by_hash(df, fit_rows).select("x").collect()]).reshape(-1, len(FEATURES))
     pos, unl = take(learn.join(good, "id", "left_semi")), take(learn)
     net = PUNet().fit(pos, unl, float(np.clip(share, 0.02, 0.98))) if len(pos) else None
 

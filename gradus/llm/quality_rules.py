@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import first_by_hash, saved
 from .text_stats import COUNTS, text_stats
 
 FIT_ROWS = 20_000
@@ -99,7 +99,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     labelled = stats.where(~failed).join(marks, stats.id == marks.doc_id).select("id", "quality", "x")  # what the base rules leave
     good = labelled.where("quality = 1")
-    fit = good.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("x").collect()
+    fit = first_by_hash(good, fit_rows).select("x").collect()
     if fit:
         forest = Forest.fit(np.array([r["x"] for r in fit]))
         hist = _scored(labelled, forest).groupBy("quality", F.floor(F.col("anomaly") * BINS).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()

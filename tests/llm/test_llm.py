@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradus.llm import decontaminate, html_extract, language_id, near_dup, packing, quality_pu, quality_rules, sharding, suffix_dedup, text_stats, toxicity
+from gradus.llm import common, decontaminate, html_extract, language_id, near_dup, packing, quality_pu, quality_rules, sharding, suffix_dedup, text_stats, toxicity
 
 RNG = random.Random(11)
 VOCAB = ["".join(RNG.choice("aeioustrnl") for _ in range(RNG.randint(2, 8))) for _ in range(400)]
@@ -173,6 +173,13 @@ def test_quality(spark):
     assert quality_rules.quality_rules(docs, labels.where("false")).count() == docs.count()
 
 
+def test_first_by_hash_equals_a_full_sort(spark):
+    ids = spark.createDataFrame([(i,) for i in range(5000)] + [(None,)] * 3 + [(7,)] * 40, "id long")
+    for n in (1, 300, 4000):
+        assert common.first_by_hash(ids, n).collect() == ids.orderBy(F.xxhash64("id"), "id").limit(n).collect()
+    assert common.first_by_hash(ids.where("false"), 5).count() == 0
+
+
 def test_toxicity(spark):
     rows, labels = [], []
     for i in range(400):
