@@ -206,6 +206,27 @@ def test_leaks(spark):
     assert decontaminate.without_leaks(docs, items).count() == 5 and decontaminate.leaks(docs.where("false"), items).count() == 0
 
 
+def test_leaks_are_judged_by_occurrence(spark):
+    q = "If Anna buys {} apples and pays {} dollars for each of the apples in the red basket how much does Anna pay"
+    twice = "take the long way from the old mill to the bridge with {} horses then "
+    items = [(1, q.format(12, 3)), (2, (twice.format(5) + twice.format(7)).strip()), (3, "Who wrote the lost letters"), (4, "12 + 15 = 27"), (5, "7 8 9 10 11 12 13 14 15")]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    noted = "If Anna now buys {} apples and pays {} dollars for each of the good apples in the red basket how much does Anna pay"
+    rows = [
+        (1, q.format(12, 3) + ". " + q.format(40, 9)),  # a literal copy and a variant
+        (2, q.format(41, 8) + ". " + q.format(40, 9)),  # two variants
+        (3, "so " + items.where("item_id = 2").first().text + " end"),  # an item that repeats its own windows
+        (4, "well, Who wrote the lost letters of Rome"),
+        (5, "that 12 + 15 = 27 holds"),
+        (6, "that 12 + 15 = 28 fails"),
+        (7, "count 7 8 9 10 11 12 13 14 15 16"),
+        (8, noted.format(40, 9) + ". " + noted.format(41, 8)),  # two variants with words put in
+        (9, "well, Bob wrote the lost letters of Rome"),
+    ]
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 1, "exact"), (2, 1, "template"), (3, 2, "exact"), (4, 3, "exact"), (5, 4, "exact"), (7, 5, "exact"), (8, 1, "template")}
+
+
 def test_extract(spark):
     notice = "<p>We use small cakes here</p>"
     page = "<html><head><title>t</title></head><body><nav><a>Menu</a></nav><div class='cookie-notice'>Cookies!</div><article><h1>T{i}</h1>" + notice + "<p>One &amp; two {i}\n x<b> y{i}</b><br>z{i}<p>Three{i}</article><div id=comments>bad</div><footer>f</footer>"
