@@ -131,6 +131,6 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The documents that leak no item, with all their columns."""
-    bad = leaks(docs.select("doc_id", "text"), items, coverage).select(F.col("doc_id").alias("_leaking")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_leaking")), "left_anti")
+    """The documents that leak no item, with all their columns; a leak is known by its text, whatever the id."""
+    bad = leaking(docs.select("doc_id", "text"), items, coverage).select(F.col("doc_id").alias("_leaking"), F.col("th").alias("_th")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_leaking")) & (F.xxhash64("text") == F.col("_th")), "left_anti")

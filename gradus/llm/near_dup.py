@@ -204,7 +204,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: id, class_key (its class), class_id (least id of the class), class_size."""
+    """A row for each document: id, v (hash of its text), class_key (its class), class_id (least id of the class), class_size."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("v", F.xxhash64("text"))
     signed = saved(rows.where("text is not null").select("v", "text").mapInArrow(_sign, "v long, bands array<long>, regions array<int>"), "signed")
     members = signed.select("v", F.explode("bands").alias("band")).groupBy("band", "v").agg(F.lit(1).alias("one")).select("band", "v")
@@ -231,19 +231,25 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
 
     small = rows.select("id", "v", F.col("text").isNull().alias("none")).join(labels, "v", "left")
     # a null text has the hash of nothing; its class is its row, told apart by id
-    small = small.withColumn("class_key", F.when(F.col("none"), F.lit(None).cast("long")).otherwise(F.coalesce("root", "v"))).select("id", "class_key")
+    small = small.withColumn("class_key", F.when(F.col("none"), F.lit(None).cast("long")).otherwise(F.coalesce("root", "v"))).select("id", "v", "class_key")
     small = saved(small, "classes")
     size = small.where("class_key is not null").groupBy("class_key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    with_text = small.where("class_key is not null").join(size, "class_key").select("id", "class_key", "class_id", "class_size")
-    alone = small.where("class_key is null").select("id", "class_key", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    with_text = small.where("class_key is not null").join(size, "class_key").select("id", "v", "class_key", "class_id", "class_size")
+    alone = small.where("class_key is null").select("id", "v", "class_key", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return with_text.union(alone)
 
 
 def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class, the one with the least doc_id, with all its columns; null texts stay."""
+    """One document of each class, with all its columns; null texts stay.
+
+    It is the one with the least doc_id, of several texts under that id the one of the least hash, of rows that still
+    differ the one whose other columns have the least hash.
+    """
     classes = near_duplicates(docs, similarity)
-    roots = classes.where("class_key is not null and id <=> class_id").select(F.col("id").alias("_id"), F.col("class_key").alias("_key")).distinct()
-    kept = docs.where(F.col("text").isNotNull()).join(roots, F.col("doc_id").eqNullSafe(F.col("_id")))
-    # an id may belong to rows of several texts: one row for each class
-    kept = kept.dropDuplicates(["_key"]).select(docs.columns)
+    roots = classes.where("class_key is not null and id <=> class_id").groupBy("class_key").agg(F.min("id").alias("_id"), F.min("v").alias("_v"))
+    kept = docs.where(F.col("text").isNotNull()).withColumn("_hash", F.xxhash64("text"))
+    kept = kept.join(roots, (F.col("_hash") == F.col("_v")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    kept = kept.groupBy("class_key").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row"))
+    kept = kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
     return kept.union(docs.where(F.col("text").isNull()))

@@ -198,6 +198,16 @@ def test_toxicity(spark):
     assert "idiot" in toxicity.units("you i d i o t !")
 
 
+def test_stages_tell_texts_of_one_id_apart(spark):
+    texts = [prose(60) for _ in range(6)]
+    rows = [(None, t) for t in texts[:4]] + [(7, texts[4]), (7, texts[5]), (8, texts[5]), (None, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    kept = sorted((r.n, r.doc_id, r.text) for r in near_dup.representatives(docs).collect())
+    assert kept == [(k, i, t) for k, (i, t) in enumerate(rows) if k != 6]
+    items = spark.createDataFrame([(1, texts[1]), (2, texts[4])], "item_id long, text string")
+    assert sorted(r.n for r in decontaminate.without_leaks(docs, items).collect()) == [0, 2, 3, 5, 6, 7]
+
+
 def test_leaks(spark):
     items = spark.createDataFrame([(1, "If Anna buys 12 apples and pays 3 dollars for each of the apples in the red basket how much does Anna pay"), (2, None), (3, "too short")], "item_id long, text string")
     q = "noise. if {a} buys 40 apples and pays {n} dollars for each of the apples in the red basket how much does {b} pay? ok"
