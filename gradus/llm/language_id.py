@@ -6,8 +6,8 @@ in the cluster). Tables are sorted arrays of n-gram hashes, looked up by binary
 are kept, so that each word is looked up once in a worker. A text gets the language with the lowest cross-entropy a character.
 `accepted` is false where that entropy is above the 99.5 % quantile of the learning documents of that language.
 
-The model is sent to every task: at most MAX_GRAMS five-grams are kept; beyond that the rarest counts go, for all
-languages alike (lower orders then speak for them).
+Up to SENT_GRAMS five-grams the model is sent to every task; a larger table stays in the cluster, where the distinct
+words of all texts are scored by joins with it. Both ways give the same result and leave out nothing.
 
 Cases: a text that is null or has no letter is `und` with score 0; rows without lang teach nothing; repeated rows are
 counted as often as they occur; with nothing to learn from, every text is `und`.
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import ascii_words, fold, mix, saved
 
 ORDER = 5
-MAX_GRAMS = 1_000_000
+SENT_GRAMS = 1_000_000
+HOT_WORDS = 20_000  # the most frequent words, whose scores are sent where the others are joined by shuffle
 DISCOUNT = 0.75
 ALPHABET = 4096  # characters that are told apart when nothing else is known
 _U = np.uint64
@@ -188,20 +189,77 @@ class Known(dict):
 _KNOWN: dict[str, Known] = {}
 
 
-def identify(docs: DataFrame, learn: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
-    """id, lang_pred, score, entropy of every row of docs(id, text, ...); learn has lang and text."""
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, text) -> v, core of a word, n: how often it is in the text; words without a letter are left out."""
+    for b in batches:
+        vs, cores, ns = [], [], []
+        for v, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            counts: Counter = Counter()
+            for w, n in Counter(ascii_words(text.as_py())).items():
+                if any(map(str.isalpha, c := core(w))):
+                    counts[c] += n
+            vs.extend([v] * len(counts)), cores.extend(counts), ns.extend(counts.values())
+            if len(vs) > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(vs, pa.int64()), pa.array(cores, pa.string()), pa.array(ns, pa.int64())], names=["v", "core", "n"])
+                vs, cores, ns = [], [], []
+        yield pa.RecordBatch.from_arrays([pa.array(vs, pa.int64()), pa.array(cores, pa.string()), pa.array(ns, pa.int64())], names=["v", "core", "n"])
+
+
+def _gram_scores(table: DataFrame, need: DataFrame, langs: DataFrame) -> DataFrame:
+    """(gram, lang, p) of the five-grams in need(gram), by the recursion of Model, from the orders below upwards."""
+    level, orders = table, []
+    for order in range(ORDER, 0, -1):
+        ctx = level.groupBy("lang", F.expr(f"substring(gram, 1, {order - 1})").alias("ctx")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        orders.append((order, level, saved(ctx, "contexts")))
+        level = saved(level.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n")), "level") if order > 1 else level
+    p = None
+    for order, level, ctx in reversed(orders):
+        rows = need.select(F.expr(f"right(gram, {order})").alias("gram")).distinct().crossJoin(F.broadcast(langs))
+        rows = rows.withColumn("ctx", F.expr(f"substring(gram, 1, {order - 1})")).join(level, ["lang", "gram"], "left")
+        rows = rows.join(F.broadcast(ctx) if order <= 2 else ctx, ["lang", "ctx"], "left")  # of orders 1 and 2: one row for each character at most
+        if p is None:
+            rows = rows.withColumn("below", F.lit(1.0 / ALPHABET))
+        else:
+            rows = rows.withColumn("tail", F.expr("substring(gram, 2)")).join(p.select("lang", F.col("gram").alias("tail"), F.col("p").alias("below")), ["lang", "tail"])
+        share = F.coalesce(F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total"), F.lit(0.0))
+        passed = F.coalesce(DISCOUNT * F.col("kinds") / F.col("total"), F.lit(1.0))
+        p = saved(rows.select("lang", "gram", (share + passed * F.col("below")).alias("p")), "level")
+    return p
+
+
+def _identify_by_joins(docs: DataFrame, table: DataFrame, langs: list[str]) -> DataFrame:
+    """What identify gives, with the gram table in the cluster."""
+    spark = docs.sparkSession
+    texts = docs.where("text is not null").select(F.xxhash64("text").alias("v"), "text").groupBy("v").agg(F.first("text").alias("text"))
+    words = saved(texts.mapInArrow(_words_of, "v long, core string, n long"), "words")
+    counts = saved(words.groupBy("core").agg(F.count(F.lit(1)).alias("texts")), "cores")
+    padded = F.concat(F.lit(" " * (ORDER - 1)), "core", F.lit(" "))
+    grams = counts.withColumn("w", padded).select("core", F.explode(F.expr(f"transform(sequence(1, length(w) - {ORDER - 1}), i -> substring(w, i, {ORDER}))")).alias("gram"))
+    grams = saved(grams.groupBy("core", "gram").agg(F.count(F.lit(1)).alias("times")), "of-words")
+    p = _gram_scores(table, grams.select("gram").distinct(), spark.createDataFrame([(x,) for x in langs], "lang string"))
+    place = {x: i for i, x in enumerate(langs)}
+    per = p.groupBy("gram").agg(*[F.max(F.when(F.col("lang") == x, F.log("p"))).alias(f"s{i}") for x, i in place.items()])
+    sums = [F.sum(F.col("times") * F.col(f"s{i}")).alias(f"s{i}") for i in range(len(langs))]
+    scores = saved(grams.join(per, "gram").groupBy("core").agg(*sums, F.sum("times").alias("chars")), "scores")
+    hot = F.broadcast(counts.orderBy(F.desc("texts"), "core").limit(HOT_WORDS).select("core"))
+    often = words.join(F.broadcast(scores.join(hot, "core")), "core")
+    seldom = words.join(hot, "core", "left_anti").join(scores, "core")
+    sums = [F.sum(F.col("n") * F.col(f"s{i}")).alias(f"s{i}") for i in range(len(langs))]
+    got = often.unionByName(seldom).groupBy("v").agg(*sums, F.sum(F.col("n") * F.col("chars")).alias("chars"))
+    got = got.select("v", "chars", F.array(*[-F.col(f"s{i}") / F.col("chars") for i in range(len(langs))]).alias("h")).withColumn("entropy", F.array_min("h"))
+    got = got.withColumn("lang_pred", F.array(*map(F.lit, langs))[F.expr("cast(array_position(h, entropy) - 1 as int)")])
+    got = got.withColumn("score", F.expr("1 / aggregate(h, 0d, (a, x) -> a + exp(-(x - entropy) * least(chars, 20)))")).select("v", "lang_pred", "score", "entropy")
+    rows = docs.select("id", F.xxhash64("text").alias("_v"), F.col("text").isNotNull().alias("_has"))
+    rows = rows.join(got, F.col("_has") & (F.col("_v") == F.col("v")), "left")
+    return rows.select("id", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"), "entropy")
+
+
+def identify(docs: DataFrame, learn: DataFrame, max_grams: int = SENT_GRAMS) -> DataFrame:
+    """id, lang_pred, score, entropy of every row of docs(id, text, ...); learn has lang and text. A table of more than max_grams rows is not sent."""
     spark = docs.sparkSession
     table = saved(gram_table(learn), "grams")
-    rows = table.count()
-    if rows > max_grams:  # the least count that leaves few enough, from one row a power of two
-        sizes = table.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("p")).collect()
-        held, least = 0, 0
-        for r in sizes:
-            if held + r["c"] > max_grams:
-                least = 2 ** (r["p"] + 1)
-                break
-            held += r["c"]
-        table = table.where(F.col("n") >= least)
+    if table.count() > max_grams:
+        return _identify_by_joins(docs, table, sorted(r["lang"] for r in table.select("lang").distinct().collect()))
     grams = [tuple(r) for r in table.collect()]
     model = Model(grams)
     n_lang = len(model.langs)

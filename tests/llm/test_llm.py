@@ -257,6 +257,18 @@ def test_language(spark):
     assert language_id.language_id(docs.where("false")).count() == 0
 
 
+def test_language_with_the_table_in_the_cluster(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(VOCAB) for _ in range(40)), "en") for i in range(60)]
+    rows += [(100, "der schöne häßliche vogel singt nicht, Straße", "de"), (101, None, "de"), (102, "12 34 x", None), (102, "12 34", None), (103, "der vogel", None), (104, "vogel " * 9, None)]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string")
+    key = lambda r: (r.id, r.lang_pred)
+    sent, kept = (sorted(language_id.identify(docs, docs, n).collect(), key=key) for n in (1_000_000, 10))
+    assert [key(r) for r in sent] == [key(r) for r in kept] and {r.lang_pred for r in kept} == {"en", "de", "und"}
+    for a, b in zip(sent, kept, strict=True):
+        assert abs(a.score - b.score) < 1e-4 and (a.entropy is None) == (b.entropy is None) and abs((a.entropy or 0) - (b.entropy or 0)) < 1e-4
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
 
