@@ -246,6 +246,16 @@ def test_extract(spark):
     assert got[110] == got[111] == "" and got[112] == "a\nb"
 
 
+def test_extract_keeps_repeated_and_copied_pages(spark):
+    page = "<html><body><article><h1>T{i}</h1><p>Seen by all</p><p>One {i}</p></article></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.replace("{i}", str(i))) for i in range(24)]
+    rows += rows  # every row twice
+    rows += [(100 + i, f"http://c.example/{i}", page.replace("{i}", str(min(i, 2)))) for i in range(40)]  # copies under other urls
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in got if r.page_id < 100) == sorted((i, f"T{i}\nOne {i}") for i in range(24) for _ in range(2))
+    assert all(r.text == f"T{min(r.page_id - 100, 2)}\nSeen by all\nOne {min(r.page_id - 100, 2)}" for r in got if r.page_id >= 100)
+
+
 def test_language(spark):
     rows = [(i, " ".join(RNG.choice(["the", "thing", "with", "house"]) for _ in range(30)), "en") for i in range(40)]
     rows += [(100 + i, " ".join(RNG.choice(["der", "schön", "nicht", "haus"]) for _ in range(30)), "de") for i in range(40)]
