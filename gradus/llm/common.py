@@ -20,13 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="gradus-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    """The folder that the cluster names in spark.checkpoint.dir, or the one the session was given by setCheckpointDir.
+
+    Only a session within one process (tests) may do without: it gets a temporary folder of its own. On a cluster that would be a
+    folder of the driver that no executor sees, so there the setting must be given.
+    """
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if path:
+        return path
+    if not re.fullmatch(r"local(\[.*\])?", sc.master or ""):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="gradus-shared-")
+    return _OWN[sc.applicationId]
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -39,12 +50,24 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def saved(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, is read as often as needed."""
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, is read as often as needed.
+
+    The files go at the end of the driver, or before by discard().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/gradus-{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved = atexit.register(_remove, spark, path), (spark, path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of saved tables that nothing will read again."""
+    for df in tables:
+        if getattr(df, "_saved", None):
+            _remove(*df._saved[1])
+            df._saved = None
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -102,16 +125,16 @@ def hashed(words: list[str]) -> np.ndarray:
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+#: white space of str.split() that does not divide words here
+_ODD = tuple("\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") + tuple(map(chr, range(0x2000, 0x200B)))
 
 
 def ascii_words(text: str) -> list[str]:
-    """Words [^\\x20\\x09-\\x0D]+ of a text. str.split() also splits at other white space, so such texts take the slow way."""
-    if text.isascii():
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+    """Words [^\\x20\\x09-\\x0D]+ of a text. str.split() also splits at other white space, so texts that hold such take the slow way."""
+    for c in _ODD[:4] if text.isascii() else _ODD:
+        if c in text:
             return _slow_words(text)
-        return text.split()
-    return text.split() if not _ODD.search(text) else _slow_words(text)
+    return text.split()
 
 
 def _slow_words(text: str) -> list[str]:

@@ -117,39 +117,62 @@ def test_dart_signatures_estimate_similarity():
     assert abs((sig[0] == sig[1]).mean() - true) < 0.05
 
 
-def test_suffix_dedup_against_brute_force(spark, docs):
-    passage = prose(60)
-    extra = spark.createDataFrame([(500 + i, prose(20) + passage + prose(25)) for i in range(4)], "doc_id long, text string")
-    both = docs.select("doc_id", "text").union(extra)
-    rows = both.collect()
+def _without_repeats(rows):
     starts = Counter()
-    for r in rows:
-        b = (r.text or "").encode()
+    for _, text in rows:
+        b = (text or "").encode()
         starts.update(b[i : i + 200] for i in range(len(b) - 199))
     want = []
-    for r in rows:
-        b = (r.text or "").encode()
+    for doc, text in rows:
+        b = (text or "").encode()
         hit = bytearray(len(b))
         for i in range(len(b) - 199):
             if starts[b[i : i + 200]] > 1:
                 hit[i : i + 200] = b"\x01" * 200
         kept = bytes(c for c, h in zip(b, hit, strict=True) if not h)
-        want.append((r.doc_id, len(b), sum(hit), sum(1 for i, h in enumerate(hit) if h and (i == 0 or not hit[i - 1])), hashlib.sha256(kept).hexdigest()))
+        want.append((doc, len(b), sum(hit), sum(1 for i, h in enumerate(hit) if h and (i == 0 or not hit[i - 1])), hashlib.sha256(kept).hexdigest()))
+    return want
+
+
+@pytest.mark.parametrize("most", [2000, 3])  # the second splits nearly all blocks into cells
+def test_suffix_dedup_against_brute_force(spark, docs, most, monkeypatch):
+    rng = random.Random(8)
+    passage, other = prose(60, rng), prose(50, rng)
+    extra = [(500 + i, prose(20, rng) + passage + prose(25, rng)) for i in range(14)] + [(600 + i, prose(3, rng) + passage[: 230 + 9 * i] + other + "é" * 230 + str(i)) for i in range(9)]
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    monkeypatch.setattr(suffix_dedup.repeats, "__defaults__", (most,))
     got = [tuple(r) for r in suffix_dedup.digest(suffix_dedup.dedup(both)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
     key = lambda x: tuple(map(str, x))
-    assert sorted(got, key=key) == sorted(want, key=key)
-    assert suffix_dedup.without_repeats(docs).columns == docs.columns and suffix_dedup.dedup(empty(docs)).count() == 0
-
-
-def test_refine_orders_by_prefix():
-    text = np.frombuffer(b"abcabcabcabdabcabcabcabd" * 3, np.uint8)
-    starts = np.arange(len(text) - 12)
-    order, block, symbol = suffix_dedup.refine(text, starts, np.zeros(len(starts), int), depth=12, step=4)
-    raw = text.tobytes()
-    times = Counter(raw[i : i + 12] for i in starts)
-    assert sorted(order.tolist()) == [i for i in starts if times[raw[i : i + 12]] > 1]
-    assert len({(b, raw[i : i + 12]) for i, b in zip(order.tolist(), block.tolist(), strict=True)}) == len(set(block.tolist()))
-    assert all(s == (raw[i - 1] if i else 0) for i, s in zip(order.tolist(), symbol.tolist(), strict=True))
+    assert sorted(got, key=key) == sorted(_without_repeats([(r.doc_id, r.text) for r in both.collect()]), key=key)
+
+
+def test_suffix_dedup_edges(spark, docs):
+    clash = docs.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("_u", "u", "row", "spans", "_spans", "n_removed")])
+    assert suffix_dedup.without_repeats(clash).columns == clash.columns and suffix_dedup.without_repeats(clash).count() == clash.count()
+    assert suffix_dedup.without_repeats(empty(docs)).count() == 0 and suffix_dedup.digest(suffix_dedup.dedup(empty(docs))).count() == 0
+
+
+def test_shard_orders_merge_to_the_order_of_all():
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.choice([97, 98], int(rng.integers(40, 300)), p=[0.9, 0.1]).astype(np.uint8)) for _ in range(300)] * 2
+    far = np.array([int(rng.integers(0, 30)) for _ in texts])
+    block = rng.integers(0, 3, len(texts))
+    shard = rng.integers(0, 5, len(texts))
+    rows, lcps, runs = [], [], []
+    for s in range(5):
+        own = np.flatnonzero(shard == s)
+        order, lcp = suffix_dedup.shard_order(block[own], [texts[i] for i in own], far[own])
+        rows.append(own[order]), lcps.append(lcp), runs.append(np.full(len(own), s))
+    rows, lcps, runs = map(np.concatenate, (rows, lcps, runs))
+    by = np.lexsort((np.arange(len(rows)), runs, block[rows]))
+    rows, lcps, runs = rows[by], lcps[by], runs[by]
+    keys, length = suffix_dedup.right_keys([texts[i] for i in rows], far[rows])
+    order, common = suffix_dedup.interleave(block[rows], runs, keys, length, lcps)
+    right = [texts[i][far[i] : far[i] + 200] for i in rows[order]]
+    assert [(block[i], r) for i, r in zip(rows[order], right, strict=True)] == sorted((block[i], texts[i][far[i] : far[i] + 200]) for i in range(len(texts)))
+    for k in range(1, len(right)):
+        same = next((j for j, (x, y) in enumerate(zip(right[k - 1], right[k], strict=False)) if x != y), min(len(right[k - 1]), len(right[k])))
+        assert common[k] == (same if block[rows[order[k]]] == block[rows[order[k - 1]]] else 0)
 
 
 def test_rule_counts(spark):
