@@ -12,109 +12,158 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, saved
+from .common import MIX_A, mix, saved
 
 WINDOW = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-_PIECES = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
-#: marks that the tokenizer keeps together in one run, apart from letters and digits
-_MARKS = ".,;:!?*#$%&|()\"-"
+SLICE = 3_000_000  # characters that are looked at together
+LONG = 4096  # characters of the longest run that is not left to the tokenizer
+SPACE, LETTER, DIGIT, MARK, ODD = range(5)
+_U = np.uint64
 
 
-class WordIds(dict):
-    """White-space word -> its ids as little-endian 32-bit words.
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Kind and lower case of each character below 65536.
 
-    The tokenizer drops white space before it merges, so a text's ids are its words' ids end to end. A
-    word is taken apart into letter runs and other runs where that is safe too; each run is tokenised once.
+    Odd are those that normalisation or lowering may change otherwise than one by one: marks that combine and what they combine to anew,
+    jamo, sigma, white space beyond ASCII, controls and unassigned ones (65535 is one, and stands for all characters above it).
     """
+    kind, low = np.full(1 << 16, ODD, np.uint8), np.arange(1 << 16, dtype=np.uint32)
+    for i in range(1 << 16):
+        c = chr(i)
+        what, small = unicodedata.category(c), c.lower()
+        if c in " \t\n\x0b\x0c\r":
+            kind[i] = SPACE
+        elif what[0] in "CMZ" or len(small) != 1 or i == 0x3A3 or 0x1100 <= i <= 0x11FF or not unicodedata.is_normalized("NFC", c):
+            continue
+        else:
+            kind[i] = LETTER if what[0] == "L" else DIGIT if what[0] == "N" else MARK
+            low[i] = ord(small)
+    return kind, low
+
+
+class RunIds:
+    """Texts -> token ids, by runs of letters, single digits and runs of marks, each tokenised once.
 
-    def __init__(self, path: str, most: int = 600_000):
+    The tokenizer drops white space and splits at these runs (and at 's 't 're 've 'm 'll 'd where a run starts so) before it merges, so
+    a text's ids are its runs' ids end to end. Runs are known by 64-bit hashes of their lower-case characters. Texts that hold
+    odd characters, special tokens or runs of more than LONG characters are left to the tokenizer whole.
+    """
+
+    def __init__(self, path: str, most: int = 2_000_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.most, self.runs = Tokenizer.from_file(path), most, {}
-
-    def ids(self, text: str) -> bytes:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def run(self, run: str) -> bytes:
-        key = run.lower() if run.isascii() else run
-        got = self.runs.get(key)
-        if got is None:
-            if len(self.runs) >= self.most:
-                self.runs.clear()
-            got = self.runs[key] = self.ids(run)
-        return got
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        if "'" in word or not (word.isascii() or unicodedata.is_normalized("NFC", word)):
-            got = self.ids(word)
-        else:
-            got = b"".join(map(self.run, _PIECES.findall(word)))
-        self[word] = got
-        return got
-
-    def learn(self, texts: list[str]) -> None:
-        """Tokenise what these texts have that is new, in one batch: of a word of letters and a tail of marks, each once."""
-        new, waiting, known = {}, [], self.keys()
-        found: set[str] = set()
-        for text in texts:
-            found.update(_split(text))
-        for word in found:
-            if word not in known:
-                core = word.rstrip(_MARKS)
-                if core.isalpha() and (word.isascii() or ("\u03a3" not in word and "\u0130" not in word and unicodedata.is_normalized("NFC", word))):
-                    tail = word[len(core) :]
-                    core = core.lower()
-                    waiting.append((word, core, tail))
-                    if core not in self.runs:
-                        new[core] = None
-                    if tail not in self.runs:
-                        new[tail] = None
-                elif "'" in word:
-                    waiting.append((word, word, ""))
-                    new[word] = None
-        if len(self.runs) + len(new) > self.most:
-            self.runs.clear()
-            new.update((x, None) for _, core, tail in waiting for x in (core, tail))
-        if len(self) + len(waiting) > self.most:
-            self.clear()
-        keys = list(new)
-        for key, got in zip(keys, self.tok.encode_batch_fast(keys, add_special_tokens=False), strict=True):
-            self.runs[key] = array("I", got.ids).tobytes()
-        for word, core, tail in waiting:
-            self[word] = self.runs[core] + self.runs[tail] if tail else self.runs[core]
-
-    def text(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _SPECIAL.search(text):  # such strings are tokens, found before white space is looked at
-            return self.ids(text)
-        return b"".join(map(self.__getitem__, _split(text)))
-
-
-def _split(text: str) -> list[str]:
-    """Split at ASCII white space; rarer white space inside a word is left to the tokenizer."""
-    return ascii_words(text)
-
-
-_IDS: dict[str, WordIds] = {}
+        self.tok, self.most = Tokenizer.from_file(path), most
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a run
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.kind, self.low = _tables()
+        self.power = np.cumprod(np.full(LONG, 0x9E3779B97F4A7C15 | 5, _U), dtype=_U)
+        self.value = mix(np.arange(1, (1 << 16) + 1, dtype=_U) * MIX_A) | _U(1)
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.at, self.n = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, "<u4")
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def tokenise(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs end to end, and how many each has; 500 runs in a call, each ends with a token that ends a run."""
+        parts = [runs[i : i + 500] for i in range(0, len(runs), 500)]
+        all_ids, counts = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for part, got in zip(parts, self.tok.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.asarray(got.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                one_by_one = list(map(self.ids, part))
+                ids, ends = np.concatenate(one_by_one), np.cumsum([len(x) for x in one_by_one])
+            all_ids.append(ids)
+            counts.append(np.diff(ends, prepend=0))
+        return np.concatenate(all_ids), np.concatenate(counts)
+
+    def _runs(self, kind: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where runs start and end."""
+        before = np.concatenate([[SPACE], kind[:-1]]).astype(np.uint8)
+        start = ((kind != before) | (kind == DIGIT)) & (kind != SPACE)
+        quote = np.flatnonzero((low == 39) & (kind == MARK) & (before != MARK))
+        if len(quote):
+            one, two = low[np.minimum(quote + 1, len(low) - 1)], low[np.minimum(quote + 2, len(low) - 1)]
+            short = np.isin(one, [ord(c) for c in "stmd"])
+            long = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+            start[quote[short | long] + 1] = False
+            for hit, step in ((short, 2), (long, 3)):  # what comes after is a run of its own
+                after = quote[hit] + step
+                after = after[after < len(kind)]
+                start[after] = kind[after] != SPACE
+        bound = np.flatnonzero(start | ((kind == SPACE) & (before != SPACE)))
+        is_start = start[bound]
+        return bound[is_start], np.append(bound[1:], len(kind))[is_start]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        big = "\n".join(texts) + "\n"
+        offs = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+        code = np.minimum(np.frombuffer(big.encode("utf-32-le", "surrogatepass"), np.uint32), (1 << 16) - 1)
+        kind, low = self.kind[code], self.low[code]
+        special = {i for i, t in enumerate(texts) if "<|" in t and _SPECIAL.search(t)}
+        special.update((np.searchsorted(offs, np.flatnonzero(kind == ODD), "right") - 1).tolist())
+        for i in special:
+            kind[offs[i] : offs[i + 1]] = SPACE
+        start, end = self._runs(kind, low)
+        length = end - start
+        if len(length) and length.max() > LONG:
+            for i in np.unique(np.searchsorted(offs, start[length > LONG], "right") - 1).tolist():
+                special.add(i)
+                kind[offs[i] : offs[i + 1]] = SPACE
+            start, end = self._runs(kind, low)
+            length = end - start
+        begin = np.cumsum(length) - length
+        within = np.arange(int(length.sum())) - np.repeat(begin, length)
+        values = self.value[low[kind != SPACE]] * self.power[within]
+        h = mix(np.add.reduceat(values, begin) + length.astype(_U) * MIX_A) if len(begin) else np.zeros(0, _U)
+        order = np.argsort(h)
+        h = h[order]
+        first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+        which = np.empty(len(h), np.int64)
+        which[order] = np.cumsum(first) - 1
+        h, one = h[first], order[first]
+
+        if len(self.keys) + len(h) > self.most:
+            self.forget()
+        place = np.searchsorted(self.keys, h)
+        new = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != h) if len(self.keys) else np.arange(len(h))
+        if len(new):
+            ids, n = self.tokenise([big[a:b] for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)])
+            at = len(self.pool) + np.cumsum(n) - n
+            self.pool = np.concatenate([self.pool, ids])
+            self.keys, self.at, self.n = (np.insert(x, place[new], y) for x, y in ((self.keys, h[new]), (self.at, at), (self.n, n)))
+            place = np.searchsorted(self.keys, h)
+        at, n = self.at[place][which], self.n[place][which]
+        sums = np.concatenate([[0], np.cumsum(n)])
+        ids = self.pool[np.repeat(at - sums[:-1], n) + np.arange(sums[-1])]
+        cut = sums[np.searchsorted(start, offs)]
+        out = [ids[lo:hi] for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        for i in special:
+            out[i] = self.ids(texts[i])
+        return out
+
+
+_IDS: dict[str, RunIds] = {}
 
 
 def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -123,24 +172,22 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _IDS:
-            _IDS[path] = WordIds(path)
+            _IDS[path] = RunIds(path)
         words, start, press = _IDS[path], 0, zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids, texts, parts = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
             lo = 0
             while lo < len(texts):  # bounded slices: a batch of very long texts is emitted piece by piece
                 hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size < 4_000_000):
+                while hi < len(texts) and (hi == lo or size < SLICE):
                     size += len(texts[hi] or "")
                     hi += 1
-                words.learn([t for t in texts[lo:hi] if t])
                 starts, counts, blobs = [], [], []
-                for t in texts[lo:hi]:
-                    raw = words.text(t) + end
+                for got in words.encode([t or "" for t in texts[lo:hi]]):
                     starts.append(start)
-                    counts.append(len(raw) // 4)
-                    start += len(raw) // 4
-                    blobs.append(press.compress(raw))
+                    counts.append(len(got) + 1)
+                    start += len(got) + 1
+                    blobs.append(press.compress(got.tobytes() + end))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, hi - lo), parts.slice(lo, hi - lo), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())],
                     names=["doc", "part", "start_in_part", "n_ids", "ids"],
