@@ -1,13 +1,13 @@
 """Language identification by interpolated Kneser-Ney character models, one for each language.
 
 A word is read with four blanks before it and one after; every character is predicted from the four
-before it. N-gram counts are gathered from all learning documents (word counts, then five-gram counts, both summed
-in the cluster). Tables are sorted arrays of n-gram hashes, looked up by binary search; a word's log-probabilities
+before it. Five-gram counts are gathered from all learning documents (summed in each task, then in the
+cluster). Tables are sorted arrays of n-gram hashes, looked up by binary search; a word's log-probabilities
 are kept, so that each word is looked up once in a worker. A text gets the language with the lowest cross-entropy a character.
 `accepted` is false where that entropy is above the 99.5 % quantile of the learning documents of that language.
 
-Up to SENT_GRAMS five-grams the model is sent to every task; a larger table stays in the cluster, where the distinct
-words of all texts are scored by joins with it. Both ways give the same result and leave out nothing.
+A model of up to SENT_CELLS five-grams times languages is sent to every task; a larger table stays in the cluster, where the
+distinct words of all texts are scored by joins with it. Both ways give the same result and leave out nothing.
 
 Cases: a text that is null or has no letter is `und` with score 0; rows without lang teach nothing; repeated rows are
 counted as often as they occur; with nothing to learn from, every text is `und`.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import ascii_words, fold, mix, saved
 
 ORDER = 5
-SENT_GRAMS = 1_000_000
+SENT_CELLS = 16_000_000  # about 30 bytes each over all orders
 HOT_WORDS = 20_000  # the most frequent words, whose scores are sent where the others are joined by shuffle
 DISCOUNT = 0.75
 ALPHABET = 4096  # characters that are told apart when nothing else is known
@@ -36,153 +36,164 @@ _STRIP = ".,;:!?*#$%&|<>()[]{}\"'-_/\\+=0123456789"
 
 
 def core(word: str) -> str:
-    return word.strip(_STRIP).lower()
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, Counter] = {}
-
-    def flush() -> pa.RecordBatch:
-        rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
-        counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
-
-    for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            counts.setdefault(lang, Counter()).update(ascii_words(text.as_py()))
-            if sum(map(len, counts.values())) > 200_000:
-                yield flush()
-    yield flush()
+    """What a word is scored by: nothing, if it has no letter."""
+    c = word.strip(_STRIP).lower()
+    return c if c.isalpha() or any(map(str.isalpha, c)) else ""
+
+
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Five-grams of words, one for each letter and the end: their characters as numbers, a hash, and the word of each."""
+    text = [" " * (ORDER - 1) + w + " " for w in words]
+    flat = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), np.uint32)
+    count = np.array([len(t) for t in text], np.int64) - (ORDER - 1)
+    owner = np.repeat(np.arange(len(words)), count)
+    codes = np.lib.stride_tricks.sliding_window_view(flat, ORDER)[np.arange(len(owner)) + owner * (ORDER - 1)] if len(words) else np.zeros((0, ORDER), np.uint32)
+    return codes, _hashes(codes), owner
+
+
+def _hashes(codes: np.ndarray) -> np.ndarray:
+    """Hash of each row of characters."""
+    h = np.zeros(len(codes), _U)
+    for k in range(codes.shape[1]):
+        h = mix(h * _U(0x9E3779B97F4A7C15) + codes[:, k].astype(_U))
+    return h
+
+
+class _Grams:
+    """Five-gram counts of one language in a task."""
+
+    def __init__(self):
+        self.words: Counter = Counter()
+        self.keys, self.codes, self.n = np.zeros(0, _U), np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64)
+
+    def settle(self) -> None:
+        """Turn the words counted so far into five-grams."""
+        cores: Counter = Counter()
+        for w, n in self.words.items():
+            cores[core(w)] += n
+        cores.pop("", None)
+        self.words.clear()
+        codes, keys, owner = _codes(list(cores))
+        n = np.fromiter(cores.values(), np.int64, len(cores))[owner]
+        self.keys, first, to = np.unique(np.concatenate([self.keys, keys]), return_index=True, return_inverse=True)
+        self.codes = np.concatenate([self.codes, codes])[first]
+        self.n = np.bincount(to, np.concatenate([self.n, n]), len(first)).astype(np.int64)
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    """(lang, text) -> lang, gram, n: of each task the five-grams and how often they occur."""
+    held: dict[str, _Grams] = {}
 
-    def flush() -> pa.RecordBatch:
-        keys = list(counts)
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names=["lang", "gram", "n"])
-        counts.clear()
-        return out
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, g in held.items():
+            g.settle()
+            text = g.codes.tobytes().decode("utf-32-le", "surrogatepass")
+            grams = [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(g.n)], names=["lang", "gram", "n"])
+        held.clear()
 
     for b in batches:
-        for lang, word, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            w = core(word)
-            if any(map(str.isalpha, w)):
-                s = " " * (ORDER - 1) + w + " "
-                for i in range(len(w) + 1):
-                    counts[lang, s[i : i + ORDER]] += n
-            if len(counts) > 300_000:
-                yield flush()
-    yield flush()
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            g = held.setdefault(lang, _Grams())
+            g.words.update(ascii_words(text.as_py()))
+            if len(g.words) > 200_000:
+                g.settle()
+                if sum(len(x.keys) for x in held.values()) > 2_000_000:
+                    yield from flush()
+    yield from flush()
 
 
 def gram_table(learn: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, gram, n) over all learning rows."""
     rows = learn.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    words = rows.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return words.mapInArrow(_gram_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(_gram_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Model:
     """For each order: sorted gram hashes with the discounted share by language, and sorted context hashes with the weight passed on."""
 
-    def __init__(self, grams: list[tuple[str, str, int]]):
-        self.langs = sorted({g[0] for g in grams})
-        col = {lang: i for i, lang in enumerate(self.langs)}
-        level: dict[str, np.ndarray] = {}
-        for lang, g, n in grams:
-            level.setdefault(g, np.zeros(len(self.langs)))[col[lang]] += n
-        self.tables = []
+    def __init__(self, table: pa.Table):
+        lang = table.column("lang").combine_chunks().dictionary_encode()
+        lang = lang.chunk(0) if isinstance(lang, pa.ChunkedArray) else lang
+        names = lang.dictionary.to_pylist()
+        self.langs = sorted(names)
+        place = np.array([self.langs.index(x) for x in names], np.int64)
+        col = place[lang.indices.to_numpy(zero_copy_only=False)] if len(lang) else np.zeros(0, np.int64)
+        n = table.column("n").to_numpy().astype(np.float64)
+        text = "".join(table.column("gram").to_pylist())
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
+        del text
+        k, self.tables = len(self.langs), []
         for order in range(ORDER, 0, -1):
-            total: dict[str, np.ndarray] = {}
-            kinds: dict[str, np.ndarray] = {}
-            for g, c in level.items():
-                total[g[:-1]] = total.get(g[:-1], 0) + c
-                kinds[g[:-1]] = kinds.get(g[:-1], 0) + (c > 0)
-            names = list(level)
-            share = np.array([np.where(total[g[:-1]] > 0, np.maximum(level[g] - DISCOUNT, 0) / np.maximum(total[g[:-1]], 1), 0) for g in names])
-            ctx = list(total)
-            passed = np.array([np.where(total[c] > 0, DISCOUNT * kinds[c] / np.maximum(total[c], 1), 1) for c in ctx])
-            self.tables.append((*self._sorted(names, share), *self._sorted(ctx, passed)))
-            lower: dict[str, np.ndarray] = {}
-            for g, c in level.items():  # how many different characters stand before it
-                lower[g[1:]] = lower.get(g[1:], 0) + (c > 0)
-            level = lower
-
-    @staticmethod
-    def _sorted(names: list[str], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = np.array([_hash_codes(n) for n in names], _U)
-        order = np.argsort(h)
-        return h[order], values[order]
+            keys, gram = np.unique(_hashes(codes), return_inverse=True)
+            contexts, ctx = np.unique(_hashes(codes[:, :-1]), return_inverse=True)
+            at = ctx * k + col
+            total, kinds = (np.bincount(at, w, len(contexts) * k) for w in (n, None))
+            share = np.zeros((len(keys), k), np.float32)
+            share[gram, col] = np.maximum(n - DISCOUNT, 0) / total[at]
+            passed = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1).astype(np.float32).reshape(len(contexts), k)
+            self.tables.append((keys, share, contexts, passed))
+            if order > 1:  # below: how many different characters stand before it
+                _, lower = np.unique(_hashes(codes[:, 1:]), return_inverse=True)
+                both, first, n = np.unique(lower * k + col, return_index=True, return_counts=True)
+                codes, col, n = codes[first, 1:], col[first], n.astype(np.float64)
 
     def words(self, words: list[str]) -> np.ndarray:
         """(words, languages + 1): log-probability by language, then characters predicted."""
         out = np.zeros((len(words), len(self.langs) + 1))
-        text = ["    " + w + " " for w in words]
-        codes = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
-        lengths = np.array([len(t) for t in text])
-        ends = np.cumsum(lengths)
-        owner = np.repeat(np.arange(len(words)), lengths - (ORDER - 1))
-        at = np.concatenate([np.arange(e - n + ORDER - 1, e) for e, n in zip(ends, lengths, strict=True)]) if len(words) else np.zeros(0, np.int64)
-        p = np.full((len(at), len(self.langs)), 1.0 / ALPHABET)
+        codes, keys, owner = _codes(words)
+        _, first, to = np.unique(keys, return_index=True, return_inverse=True)
+        codes = codes[first]
+        p = np.full((len(codes), len(self.langs)), 1.0 / ALPHABET)
         for order in range(1, ORDER + 1):
-            keys, share, ctx_keys, passed = self.tables[ORDER - order]
-            ctx = np.zeros(len(at), _U)
-            for k in range(order - 1, 0, -1):
-                ctx = mix(ctx * _U(0x9E3779B97F4A7C15) + codes[at - k])
-            gram = mix(ctx * _U(0x9E3779B97F4A7C15) + codes[at])
-            p = _find(gram, keys, share, 0.0) + _find(ctx, ctx_keys, passed, 1.0) * p
+            grams, share, contexts, passed = self.tables[ORDER - order]
+            p = _find(_hashes(codes[:, ORDER - order :]), grams, share, 0.0) + _find(_hashes(codes[:, ORDER - order : -1]), contexts, passed, 1.0) * p
         logs = np.log(p)
         for j in range(len(self.langs)):
-            out[:, j] = np.bincount(owner, logs[:, j], minlength=len(words))
+            out[:, j] = np.bincount(owner, logs[to, j], minlength=len(words))
         out[:, -1] = np.bincount(owner, minlength=len(words))
         return out
 
 
-def _hash_codes(s: str) -> int:
-    h = np.zeros(1, _U)
-    for c in s:
-        h = mix(h * _U(0x9E3779B97F4A7C15) + _U(ord(c)))
-    return int(h[0])
-
-
 def _find(h: np.ndarray, keys: np.ndarray, values: np.ndarray, missing: float) -> np.ndarray:
     if not len(keys):
-        return np.full((len(h), values.shape[1] if values.ndim == 2 else 1), missing)
+        return np.full((len(h), values.shape[1]), missing)
     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
     return np.where((keys[at] == h)[:, None], values[at], missing)
 
 
 class Known(dict):
-    """word -> row of `rows`; new words are scored in one go, all are forgotten when `most` is reached."""
+    """word -> row of `rows`, the same for words of one core; when `most` words or rows are reached, those in use stay."""
 
     def __init__(self, model: Model, most: int = 500_000):
-        self.model, self.most = model, most
-        self.rows = np.zeros((most, len(model.langs) + 1), np.float32)
+        self.model, self.most, self.cores = model, most, {"": 0}
+        self.rows = np.zeros((1024, len(model.langs) + 1), np.float32)
 
-    def learn(self, texts: list[str]) -> None:
+    def learn(self, texts: list[list[str]]) -> None:
         found: set[str] = set()
-        for t in texts:
-            found.update(ascii_words(t))
-        new = [w for w in found if w not in self]
-        if len(self) + len(new) > self.most:
+        for words in texts:
+            found.update(words)
+        if len(self) + len(found) > self.most or len(self.cores) + len(found) > self.most:
+            kept = {w: self[w] for w in found if w in self}
+            used, row = np.unique(np.array([0, *kept.values()]), return_inverse=True)
+            at = dict(zip(used.tolist(), range(len(used)), strict=True))
+            self.cores = {c: at[i] for c, i in self.cores.items() if i in at}
+            self.rows[: len(used)] = self.rows[used]
             self.clear()
-            new = list(found)
-        if len(new) > self.most:  # one text of more different words than are remembered
-            self.most = len(new)
-            self.rows = np.zeros((self.most, self.rows.shape[1]), np.float32)
-        start = len(self)
-        cores = [c if any(map(str.isalpha, c := core(w))) else "" for w in new]
-        distinct = list(dict.fromkeys(cores))
-        place = {c: i for i, c in enumerate(distinct)}
-        values = np.concatenate([self.model.words(distinct[i : i + 20_000]) for i in range(0, len(distinct), 20_000)]) if distinct else np.zeros((0, self.rows.shape[1]))
-        if "" in place:
-            values[place[""]] = 0
-        self.rows[start : start + len(new)] = values[[place[c] for c in cores]]
-        self.update(zip(new, range(start, start + len(new)), strict=True))
-
-    def text(self, text: str) -> np.ndarray:
-        words = ascii_words(text)
+            self.update(zip(kept, row[1:].tolist(), strict=True))
+        pairs = [(w, core(w)) for w in found.difference(self)]
+        new = list({c: None for _, c in pairs if c not in self.cores})
+        start = len(self.cores)
+        if start + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((start + len(new), self.rows.shape[1]), np.float32)])
+        for i in range(0, len(new), 50_000):
+            some = new[i : i + 50_000]
+            self.rows[start + i : start + i + len(some)] = self.model.words(some)
+        self.cores.update(zip(new, range(start, start + len(new)), strict=True))
+        for w, c in pairs:
+            self[w] = self.cores[c]
+
+    def text(self, words: list[str]) -> np.ndarray:
         return self.rows[np.fromiter(map(self.__getitem__, words), np.int64, len(words))].sum(0, dtype=float)
 
 
@@ -196,7 +207,7 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for v, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             counts: Counter = Counter()
             for w, n in Counter(ascii_words(text.as_py())).items():
-                if any(map(str.isalpha, c := core(w))):
+                if c := core(w):
                     counts[c] += n
             vs.extend([v] * len(counts)), cores.extend(counts), ns.extend(counts.values())
             if len(vs) > 200_000:
@@ -254,39 +265,37 @@ def _identify_by_joins(docs: DataFrame, table: DataFrame, langs: list[str]) -> D
     return rows.select("id", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"), "entropy")
 
 
-def identify(docs: DataFrame, learn: DataFrame, max_grams: int = SENT_GRAMS) -> DataFrame:
-    """id, lang_pred, score, entropy of every row of docs(id, text, ...); learn has lang and text. A table of more than max_grams rows is not sent."""
+def identify(docs: DataFrame, learn: DataFrame, most: int = SENT_CELLS) -> DataFrame:
+    """id, lang_pred, score, entropy of every row of docs(id, text, ...); learn has lang and text. A larger model than `most` is not sent."""
     spark = docs.sparkSession
     table = saved(gram_table(learn), "grams")
-    if table.count() > max_grams:
-        return _identify_by_joins(docs, table, sorted(r["lang"] for r in table.select("lang").distinct().collect()))
-    grams = [tuple(r) for r in table.collect()]
-    model = Model(grams)
-    n_lang = len(model.langs)
+    langs = sorted(r["lang"] for r in table.select("lang").distinct().collect())
+    if table.count() * len(langs) > most:
+        return _identify_by_joins(docs, table, langs)
+    model = Model(table.toArrow())
     sent = spark.sparkContext.broadcast(model)
-    name = xxhash.xxh64_hexdigest(repr(sorted(grams)[:: max(1, len(grams) // 2000)]) + str(len(grams)))
-    del grams
+    name = xxhash.xxh64_hexdigest(repr(langs).encode() + b"".join(x.tobytes() for x in model.tables[0][:2]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _KNOWN:
             _KNOWN.clear()
             _KNOWN[name] = Known(sent.value)
-        known, langs = _KNOWN[name], sent.value.langs
+        known = _KNOWN[name]
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             lo = 0
             while lo < b.num_rows:
                 hi, size, part = lo, 0, []
                 while hi < b.num_rows and size < 3_000_000:
-                    part.append(texts[hi].as_py() or "")
-                    size += len(part[-1])
+                    text = texts[hi].as_py() or ""
+                    part.append(ascii_words(text) if langs else [])
+                    size += len(text)
                     hi += 1
                 preds, scores, entropies = [], [], []
-                if n_lang:
-                    known.learn(part)
-                for t in part:
-                    row = known.text(t) if n_lang and t else None
-                    if row is None or row[-1] == 0:
+                known.learn(part)
+                for words in part:
+                    row = known.text(words)
+                    if row[-1] == 0:
                         preds.append("und"), scores.append(0.0), entropies.append(None)
                         continue
                     h = -row[:-1] / row[-1]
