@@ -2,13 +2,16 @@
 
 Kernel: a word's features are its three-letter subsequences with at most two letters skipped between
 neighbours, each weighted DECAY^skipped and normalised, so inserted letters (`idxiot`), marks (`i.d.i.o.t`) and
-spaced letters (`i d i o t`) leave most features in place. Landmarks are words: of those that mark toxic learning
-documents (counts over all learning rows), the strongest that differ from each other, and frequent words of clean
-documents. A sentence's kernel row is the greatest kernel value of its words with each landmark; K_mm^(-1/2) maps
-it to Nyström features; a linear SVM is trained on labelled sentences (of a learning document
-its PER_DOC most suspicious; those of clean documents are clean, of a toxic one the highest is toxic, chosen anew as
-the machine learns; at most FIT_ROWS documents, least hash of the id). A document has the score of its highest sentence, by a
-logistic curve fitted on the same rows.
+spaced letters (`i d i o t`) leave most features in place. Two marks before a word give its first letters more weight. Of two
+sentences it is the sum, over all pairs of their words (the first of equal words in a document), of the squared word kernel (a convolution kernel); word kernels below LEAST count as 0. Landmarks are sentences of one word: of the words
+that mark toxic learning documents (a test on document counts, words like each other counted together), the strongest that
+differ, and the frequent words of clean documents that are most like them. K_mm^(-1/2) maps a sentence's kernel row to Nyström features; a linear SVM is trained
+on labelled sentences (of a learning document its PER_DOC most suspicious; those of clean documents are clean, of a toxic one the
+highest is toxic, chosen anew as the machine learns). A document's score is a logistic curve over the decisions of its TOP highest
+sentences and its number of sentences, fitted on the same documents, weighted as toxic and clean ones occur among all labelled rows.
+
+Learning documents are at most FIT_ROWS labelled ones, half of them toxic at most (least hash of the id; of several texts of one id the
+least). Letters outside a to z share 38 codes, so some of them count as equal.
 
 Cases: null and empty texts and texts without letters have the score of an empty sentence; ids may be null or repeated;
 without toxic learning rows every score is 0; other columns are ignored, whatever their names.
@@ -27,10 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, fold, saved
+from .common import ascii_words, first_by_hash, fold, saved
 
-FIT_ROWS, PER_DOC = 8_000, 6
-LANDMARKS, NEUTRAL, CANDIDATES = 64, 8, 1000
+FIT_ROWS, PER_DOC, TOP = 12_000, 6, 5
+LANDMARKS, NEUTRAL, CANDIDATES = 64, 20, 2000
 GAP, DECAY = 2, 0.5
 LEAST = 0.3  # kernel values below count as 0
 CUT = 0.3
@@ -61,8 +64,8 @@ def units(text: str) -> list[str]:
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letters of words, a mark before the first, end to end as numbers 0 to 63, where each starts, how long it is."""
-    words = ["^" + w for w in words]
+    """Letters of words, two marks before the first, end to end as numbers 0 to 63, where each starts, how long it is."""
+    words = ["^^" + w for w in words]
     lengths = np.array([len(w) for w in words], np.int64)
     raw = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     code = np.where((raw >= 97) & (raw <= 122), raw - 97, 26 + raw % 38)
@@ -74,28 +77,24 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code, starts, lengths = _codes(words)
     owner = np.repeat(np.arange(len(words)), lengths)
     left = np.repeat(starts + lengths, lengths) - np.arange(len(code))  # letters from here to the word's end
-    who, what, how = [], [], []
+    keys = []
     for g in range(GAP + 1):
         for k in range(GAP + 1):
             at = np.flatnonzero(left > 2 + g + k)
-            who.append(owner[at])
-            what.append((code[at] << 12) | (code[at + 1 + g] << 6) | code[at + 2 + g + k])
-            how.append(np.full(len(at), DECAY ** (g + k)))
-    who, what, how = np.concatenate(who), np.concatenate(what), np.concatenate(how)
-    key = (who << 18) | what
-    order = np.argsort(key, kind="stable")
-    key, how = key[order], how[order]
+            keys.append((owner[at] << 21) | (code[at] << 15) | (code[at + 1 + g] << 9) | (code[at + 2 + g + k] << 3) | (g + k))
+    key = np.sort(np.concatenate(keys))
     if not len(key):
-        return who, what, how
+        return key, key, key.astype(float)
+    value, key = (DECAY ** np.arange(8.0))[key & 7], key >> 3
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    value = np.add.reduceat(how, first)
+    value = np.add.reduceat(value, first)
     who, what = key[first] >> 18, key[first] & 0x3FFFF
     norm = np.sqrt(np.bincount(who, value * value, minlength=len(words)))
     return who, what, value / norm[who]
 
 
 class Kernel:
-    """Kernel values of words with fixed landmarks, by one table over the codes that landmarks have."""
+    """Squared kernel values of words with fixed landmarks, by one table over the codes that landmarks have."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
@@ -118,28 +117,30 @@ class Kernel:
                 first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
                 out[lo + who[first]] = np.add.reduceat(self.table[place[hit]] * value[hit, None].astype(np.float32), first, axis=0)
         out[out < LEAST] = 0
-        return out
+        return out * out
 
 
 @dataclass
 class Model:
     kernel: Kernel
-    whiten: np.ndarray
-    weights: np.ndarray
+    weights: np.ndarray  # of kernel rows
     bias: float
-    slope: float = 1.0
-    shift: float = 0.0
-    toxic: int = 0  # the first so many landmarks are toxic words
+    document: np.ndarray  # of the TOP decisions, the number of sentences, 1
+
+    def summary(self, rows: np.ndarray, n: int) -> np.ndarray:
+        """What a document is scored by: its highest decisions (an empty sentence's where it has fewer), its number of sentences, 1."""
+        d = np.sort(np.concatenate([rows @ self.weights + self.bias, np.full(TOP, self.bias)]))[: -TOP - 1 : -1]
+        return np.concatenate([d, [np.log1p(n), 1.0]])
 
-    def decide(self, rows: np.ndarray) -> np.ndarray:
-        return rows @ self.whiten @ self.weights + self.bias
+    def score(self, rows: np.ndarray, n: int) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.summary(rows, n) @ self.document, -30, 30))))
 
 
 class Known(dict):
-    """word -> row of kernel values (0: none worth keeping) and whether it ends a sentence."""
+    """word -> row of kernel values (0: none worth keeping) and whether it ends a sentence; when `most` is reached, words in use stay."""
 
     def __init__(self, kernel: Kernel, most: int = 600_000):
-        self.kernel, self.most = kernel, most
+        self.kernel, self.most, self.cores = kernel, most, {}
         self.rows = [np.zeros((1, len(kernel.landmarks)), np.float32)]
         self.count = 1
 
@@ -147,19 +148,25 @@ class Known(dict):
         found: set[str] = set()
         for t in texts:
             found.update(t)
-        new = [w for w in found if w not in self]
-        if len(self) + len(new) > self.most:
+        if len(self) + len(found) > self.most or len(self.cores) + len(found) > self.most:
+            kept = {w: self[w] for w in found if w in self}
             self.clear()
-            self.rows, self.count, new = self.rows[:1], 1, list(found)
-        clean = [letters(w) for w in new]
-        distinct = list(dict.fromkeys(clean))
-        rows = self.kernel.rows(distinct)
+            self.update(kept)
+            self.cores = {letters(w): at >> 1 for w, at in kept.items()}
+            used, to = np.unique(np.array([0, *self.cores.values()]), return_inverse=True)
+            self.rows, self.count = [self.table()[used]], len(used)
+            place = dict(zip(used.tolist(), range(len(used)), strict=True))
+            self.cores = dict(zip(self.cores, to[1:].tolist(), strict=True))
+            self.update({w: place[at >> 1] * 2 + (at & 1) for w, at in kept.items()})
+        pairs = [(w, letters(w)) for w in found.difference(self)]
+        new = list({c: None for _, c in pairs if c not in self.cores})
+        rows = self.kernel.rows(new)
         active = rows.any(axis=1)
-        place = dict(zip(distinct, np.where(active, np.cumsum(active) - 1 + self.count, 0).tolist(), strict=True))
+        self.cores.update(zip(new, np.where(active, np.cumsum(active) - 1 + self.count, 0).tolist(), strict=True))
         self.rows.append(rows[active])
         self.count += int(active.sum())
-        for w, c in zip(new, clean, strict=True):
-            self[w] = place[c] * 2 + (w[-1] in _ENDS)
+        for w, c in pairs:
+            self[w] = self.cores[c] * 2 + (w[-1] in _ENDS)
 
     def table(self) -> np.ndarray:
         if len(self.rows) > 1:
@@ -167,22 +174,24 @@ class Known(dict):
         return self.rows[0]
 
 
-def _sentences(known: Known, words: list[str], table: np.ndarray) -> np.ndarray:
-    """Kernel rows of the sentences of a text that have any, or one empty row."""
+def _sentences(known: Known, words: list[str], table: np.ndarray) -> tuple[np.ndarray, int]:
+    """Kernel rows of the sentences of a text that have any, and how many sentences it has."""
     at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
     active = np.flatnonzero(at >= 2)
+    n = int((at & 1).sum())
     if not len(active):
-        return np.zeros((1, table.shape[1]), np.float32)
+        return np.zeros((0, table.shape[1]), np.float32), n
+    active = active[np.sort(np.unique(at[active] >> 1, return_index=True)[1])]  # a word that comes again says nothing new
     sentence = np.cumsum(at & 1)[active] - (at[active] & 1)
     first = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]]))
-    return np.maximum.reduceat(table[at[active] >> 1], first, axis=0)
+    return np.add.reduceat(table[at[active] >> 1], first, axis=0), n
 
 
 _KNOWN: dict[str, Known] = {}
 
 
 def _over(rows: DataFrame, kernel_in, name: str, result, kind: str, names: list[str]) -> DataFrame:
-    """Run result(sentence rows) over every text; rows: id, text, then columns passed on."""
+    """Run result(sentence rows, number of sentences) over every text; rows: id, text, then columns passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _KNOWN:
@@ -199,7 +208,7 @@ def _over(rows: DataFrame, kernel_in, name: str, result, kind: str, names: list[
                     hi += 1
                 known.learn(part)
                 table = known.table()
-                got = [result(_sentences(known, w, table)) for w in part]
+                got = [result(*_sentences(known, w, table)) for w in part]
                 keep = [b.column(i).slice(lo, hi - lo) for i in range(b.num_columns) if i != 1]
                 yield pa.RecordBatch.from_arrays([*keep, pa.array(got)], names=names)
                 lo = hi
@@ -231,10 +240,11 @@ def choose_landmarks(labelled: DataFrame, most: int = LANDMARKS, neutral: int =
     seen = labelled.groupBy().agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     if not seen["bad"]:
         return [], 0
-    words = saved(labelled.select("toxic", "text").mapInArrow(_word_docs, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "words")
+    words = labelled.select("toxic", "text").mapInArrow(_word_docs, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    words = saved(words, "words")
     n_bad, n_good = float(seen["bad"]), float(seen["good"] or 0)
     share_bad, share_good = F.col("bad") / F.lit(n_bad + 1), (F.col("good") + 0.5) / F.lit(n_good + 1)
-    strong = words.where((F.col("bad") >= 2) & (share_bad > 4 * share_good)).withColumn("w", share_bad * F.log(share_bad / share_good))
+    strong = words.where((F.col("bad") >= 2) & (share_bad > 3 * share_good)).withColumn("w", share_bad * F.log(share_bad / share_good))
     strong = strong.orderBy(F.desc("w"), "word").limit(CANDIDATES).select("word", "bad", "good").collect()
     plain = words.where("good > 0").orderBy(F.desc("good"), "word").limit(CANDIDATES).select("word", "bad", "good").collect()
     if not strong:
@@ -245,17 +255,24 @@ def choose_landmarks(labelled: DataFrame, most: int = LANDMARKS, neutral: int =
     table = {r["word"]: (r["bad"], r["good"]) for r in [*plain, *strong]}
     counts = np.array([table[w] for w in others], float)
     sim = Kernel(candidates).rows(others)  # (others, candidates)
-    sim[sim < 0.5] = 0
-    bad, good = sim.T @ (counts[:, 0] / (n_bad + 1)), sim.T @ ((counts[:, 1] + 0.02) / (n_good + 1))
-    gain = bad * np.log((bad + 1e-6) / (good + 1e-6))
+    sim[sim < 0.25] = 0
+    bad, good = sim.T @ counts[:, 0], sim.T @ counts[:, 1]
+    p_bad, p_good = np.minimum(bad / n_bad, 1), np.minimum((good + 0.5) / (n_good + 1), 1)
+    p = (bad + good + 0.5) / (n_bad + n_good + 1)
+    z = (p_bad - p_good) / np.sqrt(np.clip(p * (1 - p), 1e-9, None) * (1 / n_bad + 1 / (n_good + 1)))
     picked: list[int] = []
     best = np.zeros(len(candidates))
-    for i in np.argsort(-gain, kind="stable"):
-        if bad[i] > 8 * good[i] and bad[i] > 0.015 and best[i] < 0.6 and len(picked) < most - neutral:
+    for i in np.argsort(-z, kind="stable"):
+        if z[i] > 4 and p_bad[i] > 4 * p_good[i] and best[i] < 0.6 and len(picked) < most - neutral:
             picked.append(int(i))
             best = np.maximum(best, sim[: len(candidates), i])
     toxic = [candidates[i] for i in picked]
-    return toxic + [r["word"] for r in plain[:neutral] if r["word"] not in toxic], len(toxic)
+    if not toxic:
+        return [], 0
+    # clean words that are most like the toxic ones, and seen often, tell them apart
+    clean = [r for r in plain if r["word"] not in toxic and (r["good"] + 0.5) / (n_good + 1) > r["bad"] / n_bad]
+    like = Kernel(toxic).rows([r["word"] for r in clean]).sum(axis=1) * np.sqrt([r["good"] for r in clean])
+    return toxic + [clean[i]["word"] for i in np.argsort(-like, kind="stable")[:neutral]], len(toxic)
 
 
 def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -274,8 +291,23 @@ def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) ->
     return w[:-1], float(w[-1])
 
 
-def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
-    """labelled: id, text (not null), toxic (0 or 1), the learning rows."""
+def _logistic(x: np.ndarray, t: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weighted logistic regression by Newton steps; the last column is 1 and is not held back."""
+    w = np.zeros(x.shape[1])
+    hold = np.full(x.shape[1], ridge)
+    hold[-1] = 1e-3
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        r = weight * (p * (1 - p) + 1e-6)
+        step = np.linalg.solve(np.diag(hold) + x.T @ (x * r[:, None]), x.T @ (weight * (p - t)) + hold * w)
+        w -= np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def train(labelled: DataFrame, toxic_share: float = 0.5) -> Model | None:
+    """labelled: id, text (not null), toxic (0 or 1), the learning documents; toxic_share: how many of all labelled rows are toxic."""
     landmarks, n_toxic = choose_landmarks(labelled)
     if not n_toxic:
         return None
@@ -285,18 +317,19 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     values, vectors = np.linalg.eigh((kmm + kmm.T) / 2)
     whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
     sent = labelled.sparkSession.sparkContext.broadcast(kernel)
-    def worst(s: np.ndarray) -> list[float]:  # the most suspicious sentences, end to end
-        return s[np.argsort(-s[:, :n_toxic].max(axis=1), kind="stable")[:PER_DOC]].reshape(-1).astype(float).tolist()
 
-    # half of the rows are toxic ones at most, and clean ones fill up: least hash of the id within each
-    by_hash = lambda t, n: labelled.where(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit(n)
-    chosen = by_hash(1, fit_rows // 2).unionByName(by_hash(0, fit_rows // 2)).select("id", "text", "toxic")
+    def worst(s: np.ndarray, n: int) -> list[float]:  # the number of sentences, and the most suspicious ones end to end
+        s = s[np.argsort(-s[:, :n_toxic].sum(axis=1), kind="stable")[:PER_DOC]]
+        return [float(n), *s.reshape(-1).astype(float).tolist()]
+
     kind = labelled.schema["id"].dataType.simpleString()
-    got = _over(chosen.repartition(16), sent, name, worst, f"id {kind}, toxic int, k array<double>", ["id", "toxic", "k"]).select("toxic", "k").collect()
-    rows = [np.array(r["k"]).reshape(-1, len(landmarks)) for r in got]
+    got = _over(labelled.select("id", "text", "toxic"), sent, name, worst, f"id {kind}, toxic int, k array<double>", ["id", "toxic", "k"]).select("toxic", "k").collect()
+    y = np.array([1.0 if r["toxic"] else -1.0 for r in got])
+    count = [int(r["k"][0]) for r in got]
+    # an empty sentence stands for documents that have no other
+    rows = [np.array(r["k"][1:]).reshape(-1, len(landmarks)) if len(r["k"]) > 1 else np.zeros((1, len(landmarks))) for r in got]
     bags = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     z_all = np.concatenate(rows) @ whiten
-    y = np.array([1.0 if r["toxic"] else -1.0 for r in got])
     first = np.concatenate([[0], np.flatnonzero(np.diff(bags)) + 1])
     clean = np.flatnonzero(y[bags] < 0)
     top = first.copy()
@@ -304,23 +337,16 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     w, b = np.zeros(z_all.shape[1]), 0.0
     for _ in range(4):  # which sentence makes a document toxic is chosen anew by what has been learnt
         use = np.concatenate([top[y > 0], clean])
-        z, t_use = z_all[use], y[bags[use]]
-        cost = np.where(t_use > 0, cost_bad, 1.0)
-        w, b = _svm(z, t_use, cost)
+        t_use = y[bags[use]]
+        w, b = _svm(z_all[use], t_use, np.where(t_use > 0, cost_bad, 1.0))
         d_all = z_all @ w + b
         top = np.array([f + int(np.argmax(d_all[f : f + len(r)])) for f, r in zip(first, rows, strict=True)])
-    z = z_all[top]
-    model = Model(kernel, whiten, w, b, toxic=n_toxic)
-    d = z @ model.weights + model.bias
+    model = Model(kernel, whiten @ w, b, np.zeros(TOP + 2))
+    x = np.array([model.summary(r, n) for r, n in zip(rows, count, strict=True)])
     t = (y + 1) / 2
-    a, c = 2.0, 0.0
-    for _ in range(200):  # logistic curve, ridge towards slope 2
-        p = 1 / (1 + np.exp(-np.clip(a * d + c, -30, 30)))
-        g, r = p - t, p * (1 - p) + 1e-6
-        h = np.array([[(r * d * d).sum() + 1, (r * d).sum()], [(r * d).sum(), r.sum() + 1]])
-        step = np.linalg.solve(h, [(g * d).sum() + (a - 2.0), g.sum() + c])
-        a, c = a - 0.5 * step[0], c - 0.5 * step[1]
-    model.slope, model.shift = float(max(a, 0.1)), float(c)
+    share = min(max(toxic_share, 1e-6), 1.0)
+    weight = np.where(t > 0, share / max(t.mean(), 1e-9), (1 - share) / max(1 - t.mean(), 1e-9))
+    model.document = _logistic(x, t, weight)
     return model
 
 
@@ -331,29 +357,34 @@ def score_texts(rows: DataFrame, model: Model | None) -> DataFrame:
         return rows.select("id", F.lit(0.0).alias("score"))
     sent = rows.sparkSession.sparkContext.broadcast(model.kernel)
     name = xxhash.xxh64_hexdigest("|".join(model.kernel.landmarks))
-    final = (model.whiten @ model.weights).astype(float)
-    bias, slope, shift = model.bias, model.slope, model.shift
-    top = lambda s: float(1 / (1 + np.exp(-np.clip(slope * (float((s @ final).max()) + bias) + shift, -30, 30))))
-    return _over(rows.select("id", "text"), sent, name, top, f"id {kind}, score double", ["id", "score"])
+    rest = Model(None, model.weights.astype(float), model.bias, model.document)  # the kernel is sent apart
+    return _over(rows.select("id", "text"), sent, name, rest.score, f"id {kind}, score double", ["id", "score"])
+
+
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, fit_rows: int = FIT_ROWS) -> Model | None:
+    """The model of the labelled rows outside the held fold. The ids are chosen first, so that only the texts of these are moved."""
+    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
+    marks = marks.where(fold(F.col("doc_id"), folds) != held).select(F.col("doc_id").alias("label_id"), "toxic")
+    rows = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null")
+    known = rows.select("id").join(marks, F.col("id") == F.col("label_id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
+    known = saved(known, "marks")
+    share = known.agg(F.avg("toxic")).first()[0]
+    if not share:
+        return None
+    chosen = [first_by_hash(known.where(F.col("toxic") == t), fit_rows // 2) for t in (1, 0)]
+    ids = saved(chosen[0].unionByName(chosen[1]).select(F.col("id").alias("chosen"), "toxic"), "chosen")
+    labelled = rows.join(F.broadcast(ids), F.col("id") == F.col("chosen")).groupBy("id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))  # fit_rows at most
+    return train(saved(labelled.repartition(16), "labelled"), float(share))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; learns from labelled rows outside the held fold."""
-    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    marks = marks.where(fold(F.col("doc_id"), folds) != held).withColumnRenamed("doc_id", "label_id")
-    rows = docs.select(F.col("doc_id").alias("id"), "text")
-    learn = rows.where(fold(F.col("id"), folds) != held).where("text is not null").join(marks, F.col("id") == F.col("label_id"))
-    model = train(saved(learn.select("id", "text", "toxic"), "labelled"))
-    scored = score_texts(rows, model)
+    scored = score_texts(docs.select(F.col("doc_id").alias("id"), "text"), learn(docs, labels, folds, held))
     return scored.select(F.col("id").alias("doc_id"), (fold(F.col("id"), folds) == held).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
-    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumnRenamed("doc_id", "label_id")
-    rows = docs.select(F.col("doc_id").alias("id"), "text")
-    learn = rows.where(fold(F.col("id"), 4) != 2).where("text is not null").join(marks.where(fold(F.col("label_id"), 4) != 2), F.col("id") == F.col("label_id"))
-    model = train(saved(learn.select("id", "text", "toxic"), "labelled"))
-    whole = docs.select(F.struct(*docs.columns).alias("id"), F.col("text").alias("text"))
-    scored = score_texts(whole, model).where(F.col("score") < cut)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("id"), F.col("text").alias("text"))
+    scored = score_texts(whole, learn(docs, labels)).where(F.col("score") < cut)
     return scored.select(*[F.col("id")[c].alias(c) for c in docs.columns])
