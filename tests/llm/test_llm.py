@@ -49,30 +49,87 @@ def test_shards(spark, docs):
     assert {(r.size, r.text_crc32) for r in rows if r.doc_id == 1003} == {(18, zlib.crc32("é".encode()))}
 
 
+TREE = sharding.Tree((1.0,) * 10 + (0.0, 2.5, 1.0, 0.5), per_rack=3, per_region=2)
+
+
+def test_shards_equal_a_descent_by_hand(spark):
+    """The hashes come from Spark, the descent from plain Python."""
+    from math import log
+
+    tree = TREE.grow(3.0)
+    keys = spark.createDataFrame([(i,) for i in range(600)] + [(None,)], "id long")
+    nodes = {101: [0, 1, 2, -15], 102: [*range(5), -15], 103: [i for i, w in enumerate(tree.weights) if w]}
+    cols = [F.xxhash64("id", F.lit(n).cast("long"), F.lit(level)).alias(f"h{level}_{n}") for level, names in nodes.items() for n in names]
+    rows = sharding.assign(keys, "id", tree).select("shard", *cols).collect()
+
+    def draw(r, level, name, shards):
+        return -log(((r[f"h{level}_{name}"] % 2**64 >> 11) + 0.5) / 2**53) / sum(tree.weights[i] for i in shards)
+
+    for r in rows:
+        layout = {g: {} for g in nodes[101]}
+        for i, w in enumerate(tree.weights):
+            if w:
+                layout[i // 6 if i < 14 else -15].setdefault(i // 3 if i < 14 else -15, []).append(i)
+        g = min(layout, key=lambda g: draw(r, 101, g, [i for k in layout[g].values() for i in k]))
+        k = min(layout[g], key=lambda k: draw(r, 102, k, layout[g][k]))
+        assert r.shard == min(layout[g][k], key=lambda i: draw(r, 103, i, [i]))
+
+
 def test_shard_weights_confine_moves(spark):
-    keys = spark.range(3000)
-    a = sharding.Tree((1.0,) * 10)
-    b = sharding.Tree((1.0,) * 4 + (2.0,) + (1.0,) * 5)
-    moved = sharding.assign(sharding.assign(keys, "id", a, "x"), "id", b, "y").where("x <> y").select("y").distinct().collect()
-    assert [r.y for r in moved] == [4]
+    keys = spark.range(20000)
+    heavy = sharding.Tree((*TREE.weights[:7], 4.0, *TREE.weights[8:]), 3, 2)
+    both = sharding.assign(sharding.assign(keys, "id", TREE, "x"), "id", heavy, "y").where("x <> y").select("x", "y").collect()
+    # shard 7 is in rack 2 (6 to 8) of region 1 (6 to 11): rows come into that region, in it into that rack, in that into that shard
+    assert both and all((r.x // 6 != 1 and r.y // 6 == 1) or (r.x // 3 != 2 and r.y // 3 == 2) or r.y == 7 for r in both)
+    grown = sharding.assign(sharding.assign(keys, "id", TREE, "x"), "id", TREE.grow(), "y").where("x <> y").select("y").distinct().collect()
+    assert [r.y for r in grown] == [14]
+    share = {r.shard: r["count"] / 20000 for r in sharding.assign(keys, "id", TREE).groupBy("shard").count().collect()}
+    assert set(share) == {i for i, w in enumerate(TREE.weights) if w} and all(abs(s - TREE.weights[i] / 14) < 0.012 for i, s in share.items())
 
 
 def test_packing_round_trip(spark, docs):
     path = packing.tokenizer_path()
-    pieces = packing.concat_and_cut(docs, path).collect()
-    tok = packing.WordIds(path)
+    tok = packing.RunIds(path)
     assert packing.concat_and_cut(empty(docs), path).count() == 0
-    totals, seqs = Counter(), Counter()
-    for p in pieces:
-        totals[p.doc] += p.length
-        seqs[p.sequence_id] += p.length
+    got = packing.digest(packing.concat_and_cut(docs, path)).orderBy("sequence_id", "offset").collect()
+    # the stream is the documents' ids end to end in some order, cut at every multiple of the window
     want = Counter()
     for r in docs.collect():
-        want[r.doc_id] += len(tok.ids(r.text or "")) // 4 + 1
-    assert totals == want and sorted(seqs) == list(range(len(seqs))) and all(n == 2048 for s, n in seqs.items() if s < len(seqs) - 1)
-    for text in ("don't it's I'M", "naïve café İstanbul ΣΑΣ", "a b c 12ab3 !!--..a", "x\x1cy <|endoftext|> z", ""):
-        tok.learn([text])
-        assert tok.text(text) == tok.ids(text)
+        want[r.doc_id, np.asarray([*tok.tok.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()] += 1
+    at = 0
+    by_len = {}
+    for doc, ids in want.elements():
+        by_len.setdefault((doc, len(ids) // 4), []).append(ids)
+    i = 0
+    while i < len(got):
+        first = got[i]
+        assert first.start == 0
+        pieces, have = [], 0
+        while have < first.doc_tokens:
+            p = got[i]
+            assert (p.doc_id, p.start, p.doc_tokens, p.sequence_id, p.offset) == (first.doc_id, have, first.doc_tokens, at // 2048, at % 2048)
+            assert p.length == min(2048 - p.offset, first.doc_tokens - have)
+            pieces.append(p)
+            have, at, i = have + p.length, at + p.length, i + 1
+        texts = by_len[first.doc_id, first.doc_tokens]
+        fits = [t for t in texts if all(zlib.crc32(t[4 * p.start : 4 * (p.start + p.length)]) == p.ids_crc32 for p in pieces)]
+        texts.remove(fits[0])
+    assert not any(by_len.values())
+
+
+def test_word_ids_equal_the_tokenizer():
+    tok = packing.RunIds(packing.tokenizer_path())
+    rng = random.Random(2)
+    letters = "aAbB zZ.,'!#$%é É\u0130\u03a3ς\u0301\u0327ﬁß中文１२3\u200d\xa0\u2028\n\t<|>İŞ"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    texts += ["don't it's I'M", "naïve café İstanbul ΣΑΣ", "ŞEHRİ. TEKLİFİ, İ!", "a b c 12ab3 !!--..a", "x\x1cy <|endoftext|> z", "", "é" * 3000 + "."]
+    texts += ["x" * 5000 + " a", "''s 's 'start 'LL 'vex don'TS .'re 9's 'r 'v' 'l", "😀 a", "'", "a'", "'re", "'r"]
+    texts += ["".join(rng.choice("aRsETvdlLm''’. 1") for _ in range(rng.randint(1, 60))) for _ in range(2000)]
+    for most in (10_000, 50):  # the second forgets all the time
+        tok.most = most
+        for lo in range(0, len(texts), 100):
+            for t, got in zip(texts[lo : lo + 100], tok.encode(texts[lo : lo + 100]), strict=True):
+                assert got.tolist() == tok.ids(t).tolist(), ascii(t)
 
 
 def _multiset(text):
@@ -296,12 +353,58 @@ def test_language_with_the_table_in_the_cluster(spark):
     rows += [(100, "der schöne häßliche vogel singt nicht, Straße", "de"), (101, None, "de"), (102, "12 34 x", None), (102, "12 34", None), (103, "der vogel", None), (104, "vogel " * 9, None)]
     docs = spark.createDataFrame(rows, "id long, text string, lang string")
     key = lambda r: (r.id, r.lang_pred)
-    sent, kept = (sorted(language_id.identify(docs, docs, n).collect(), key=key) for n in (1_000_000, 10))
+    sent, kept = (sorted(language_id.identify(docs, docs, n).collect(), key=key) for n in (16_000_000, 10))
     assert [key(r) for r in sent] == [key(r) for r in kept] and {r.lang_pred for r in kept} == {"en", "de", "und"}
     for a, b in zip(sent, kept, strict=True):
         assert abs(a.score - b.score) < 1e-4 and (a.entropy is None) == (b.entropy is None) and abs((a.entropy or 0) - (b.entropy or 0)) < 1e-4
 
 
+def _kneser_ney(learn):
+    """Interpolated Kneser-Ney by plain counting: word -> log-probability, for one language."""
+    grams = Counter()
+    for text in learn:
+        for w in text.split():
+            if c := language_id.core(w):
+                s = "    " + c + " "
+                grams.update(s[i : i + 5] for i in range(len(c) + 1))
+    levels = {5: grams}
+    for k in (4, 3, 2, 1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / 4096
+        same = [(h, n) for h, n in levels[k].items() if h[:-1] == g[:-1]]
+        total = sum(n for _, n in same)
+        if not total:
+            return p(g[1:])
+        return max(levels[k][g] - 0.75, 0) / total + 0.75 * len(same) / total * p(g[1:])
+
+    return lambda c: sum(np.log(p(("    " + c + " ")[i : i + 5])) for i in range(len(c) + 1))
+
+
+def test_language_scores_equal_plain_counting(spark):
+    rng = random.Random(9)
+    by = {"en": [prose(30, rng) for _ in range(8)], "de": ["der schöne Häßliche vogel, singt nicht! 12x"], "x": ["中文 字 中"]}
+    learn = spark.createDataFrame([(k, t) for k, ts in by.items() for t in ts], "lang string, text string")
+    model = language_id.Model(language_id.gram_table(learn).toArrow())
+    words = ["vogel", "singen", "中文", "aeio", VOCAB[3], "qqq"]
+    want = np.array([[_kneser_ney(by[k])(w) for k in model.langs] for w in words])
+    assert model.langs == ["de", "en", "x"] and np.allclose(model.words(words)[:, :-1], want, rtol=1e-5)
+    known = language_id.Known(model, most=4)  # forgets all the time
+    for _ in range(3):
+        for w in words:
+            known.learn([[w, w + "!"]])
+            assert np.allclose(known.text([w, w + "!"])[:-1], 2 * want[words.index(w)], rtol=1e-4)
+
+
+def test_a_rare_language_stays(spark):
+    rows = [(i, "the thing with house " * 9, "en") for i in range(300)] + [(1000 + i, "ĉu vi ŝatas la ĝardenon", "eo") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(r.lang_pred == "eo" for r in language_id.language_id(docs).where("doc_id >= 1000").collect())
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
 
