@@ -11,6 +11,7 @@ GRADES = ((0.9, "A+"), (0.8, "A"), (0.75, "A-"), (0.6, "B+"), (0.45, "B"), (0.35
 STOPS = ((0.0, (237, 27, 47)), (0.25, (250, 166, 26)), (0.75, (163, 207, 98)), (1.0, (0, 154, 97)))
 #: fixed values: venue shapes, tried in order, and what stands before the room
 VENUES = ((r"Rm (\w+), Lift", ""), (r"Lecture Theater (\w+)", "LT"), (r"(\w+), CYT Bldg", "CYT"), (r"(\w+), LSK Bldg", "LSK"), (r"Rm (\w+), Shaw Auditorium", "SA"), (r"Rm (\w+)", ""))
+#: fixed values: names of seasons and weekdays
 SEASONS = ("Fall", "Winter", "Spring", "Summer")
 WEEKDAYS = ("Su", "Mo", "Tu", "We", "Th", "Fr", "Sa")
 
@@ -59,10 +60,12 @@ def chart_value(x: Column) -> Column:
 
 
 def room_code(venue: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    """The room of a venue, null if it has no known shape; each shape is matched once (a match is never empty)."""
+    out = []
     for pattern, before in VENUES:
-        out = out.when(venue.rlike(pattern), F.concat(F.lit(before), F.regexp_extract(venue, pattern, 1)))
-    return out
+        room = F.nullif(F.regexp_extract(venue, pattern, 1), F.lit(""))
+        out.append(F.concat(F.lit(before), room) if before else room)
+    return F.coalesce(*out)
 
 
 def room_url(venue: Column, prefix: str = "https://pathadvisor.example/room/") -> Column:

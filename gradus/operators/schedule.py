@@ -48,27 +48,51 @@ def section_table(courses: DataFrame) -> DataFrame:
     return rows
 
 
+def _time(t: Column) -> Column:
+    """HH:mm as an interval."""
+    return F.make_dt_interval(F.lit(0), F.substring(t, 1, 2).cast("int"), F.substring(t, 4, 2).cast("int"))
+
+
 def events(classes: DataFrame, order: list[str]) -> DataFrame:
     """Flat schedules (subject, code, section, number, instructors, venue, from_date, to_date, weekdays, from_time, to_time) -> one weekly event a weekday."""
-    rows = classes.where((F.col("from_time") != "") & (F.col("to_time") != "")).select("*", F.posexplode("weekdays").alias("day_pos", "weekday"))
-    day = S.first_on_weekday(F.col("from_date"), F.col("weekday"))
-    at = lambda d, t: S.to_utc(F.to_timestamp_ntz(F.concat(d.cast("string"), F.lit(" "), F.substring(t, 1, 5)), F.lit("yyyy-MM-dd HH:mm")))
-    rows = rows.withColumn("start_utc", at(day, F.col("from_time"))).withColumn("end_utc", at(day, F.col("to_time")))
-    rows = rows.withColumn("rule", S.weekly_rule(at(F.col("to_date"), F.col("to_time"))))
-    rows = rows.withColumn("title", F.concat_ws(" ", F.concat(F.col("subject"), F.lit(" "), F.col("code")), "section"))
-    rows = rows.withColumn("description", F.concat(F.lit("Instructors: "), F.array_join("instructors", ", "), F.lit("\nPath Advisor: "), F.coalesce(S.room_url(F.col("venue")), F.lit("undefined"))))
-    return rows.select(*order, "day_pos", "title", "venue", "description", "start_utc", "end_utc", "rule")
+    rows = classes.where((F.col("from_time") != "") & (F.col("to_time") != ""))
+    midnight = lambda d: d.cast("timestamp_ntz")
+    room = F.coalesce(S.room_url(F.col("venue")), F.lit("undefined"))
+    rows = rows.select(  # what does not depend on the weekday is worked out once a schedule
+        *order, "venue", "from_date", "weekdays", _time(F.col("from_time")).alias("_from"), _time(F.col("to_time")).alias("_to"),
+        S.weekly_rule(S.to_utc(midnight(F.col("to_date")) + _time(F.col("to_time")))).alias("rule"),
+        F.concat_ws(" ", F.concat(F.col("subject"), F.lit(" "), F.col("code")), "section").alias("title"),
+        F.concat(F.lit("Instructors: "), F.array_join("instructors", ", "), F.lit("\nPath Advisor: "), room).alias("description"),
+    )
+    rows = rows.select("*", F.posexplode("weekdays").alias("day_pos", "weekday"))
+    day = midnight(S.first_on_weekday(F.col("from_date"), F.col("weekday")))
+    return rows.select(*order, "day_pos", "title", "venue", "description", S.to_utc(day + F.col("_from")).alias("start_utc"), S.to_utc(day + F.col("_to")).alias("end_utc"), "rule")
+
+
+def _folded(line: Column, width: int = 75) -> Column:
+    """Lines of more than `width` characters go on in the next ones, after a blank."""
+    cut = F.regexp_replace(line, rf"(?s)^(.{{{width}}})(?=.)", "$1\r\n ")
+    rest = F.regexp_replace(line, rf"(?s)^.{{0,{width}}}", "")
+    more = F.regexp_replace(rest, rf"(?s)(.{{{width - 1}}})(?=.)", "$1\r\n ")
+    return F.when(F.length(line) <= width, line).otherwise(F.concat(F.regexp_extract(cut, rf"(?s)^(.{{{width}}}\r\n )", 1), more))
 
 
 def ics_text(rows: DataFrame, order: list[str], stamp: str = "20240101T000000Z") -> DataFrame:
-    """One iCalendar document (column `text`) of a request's events."""
+    """One iCalendar document (column `text`) of a request's events, in request order; as long as the request."""
     when = lambda c: F.date_format(c, "yyyyMMdd'T'HHmmss'Z'")
     esc = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit(";"), F.lit("\\;")), F.lit(","), F.lit("\\,")), F.lit("\n"), F.lit("\\n"))
-    lines = F.concat_ws(
-        "\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.sha1(F.concat_ws("|", *[F.col(c).cast("string") for c in order], "title", when(F.col("start_utc"))))), F.lit(f"DTSTAMP:{stamp}"),
+    fields = [
+        F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.sha1(F.concat_ws("|", *[F.col(c).cast("string") for c in order], "title", when(F.col("start_utc"))))), F.lit(f"DTSTAMP:{stamp}"),
         F.concat(F.lit("DTSTART:"), when(F.col("start_utc"))), F.concat(F.lit("DTEND:"), when(F.col("end_utc"))), F.concat(F.lit("RRULE:"), F.col("rule")), F.concat(F.lit("SUMMARY:"), esc(F.col("title"))),
         F.concat(F.lit("LOCATION:"), esc(F.coalesce("venue", F.lit("")))), F.concat(F.lit("DESCRIPTION:"), esc(F.col("description"))), F.lit("END:VEVENT"),
-    )
+    ]
+    lines = F.concat_ws("\r\n", *map(_folded, fields))
     body = F.array_sort(F.collect_list(F.struct(*order, "day_pos", lines.alias("_text"))))
     head = "BEGIN:VCALENDAR\r\nVERSION:2.0\r\nPRODID:-//gradus//EN\r\n"
     return rows.agg(F.concat(F.lit(head), F.array_join(F.transform(body, lambda r: r["_text"]), "\r\n"), F.lit("\r\nEND:VCALENDAR\r\n")).alias("text"))
+
+
+def ics_headers(webcal: str | None) -> dict[str, str]:
+    """Headers of the answer: any text in `webcal` asks for the calendar itself, else it is a file to keep."""
+    kind = {"Content-Type": "text/calendar"}
+    return kind if webcal else kind | {"Content-Disposition": "attachment; filename=calendar.ics"}

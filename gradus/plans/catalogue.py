@@ -34,12 +34,15 @@ def _register(sql: str | None = None):
     return add
 
 
-def _suppliers(spark, d) -> DataFrame:
-    return A.view(spark, d, A.SUPPLIERS, "wide", "lineitem")
+def _suppliers(spark, d, terms: tuple[int | None, int] | None = None) -> DataFrame:
+    return A.view(spark, d, A.SUPPLIERS, "wide", "lineitem", terms=terms)
 
 
-def _parts(spark, d) -> DataFrame:
-    return A.view(spark, d, A.PARTS, "wide", "lineitem")
+def _parts(spark, d, terms: tuple[int | None, int] | None = None) -> DataFrame:
+    return A.view(spark, d, A.PARTS, "wide", "lineitem", terms=terms)
+
+
+_NOW = (TERM, TERM + 1)
 
 
 def _ranked_sql(ctes: str, gate: str, score: str, term: int | None = TERM, order: str = "ord") -> str:
@@ -53,11 +56,11 @@ _INSTRUCTORS, _COURSES = _ranked_sql(A.SUPPLIERS, ANY, SCORE_I), _ranked_sql(A.P
 
 
 def _instructors(spark, d, formula: str = R.INSTRUCTOR_FORMULA) -> DataFrame:
-    return R.rank(R.gate_any(_suppliers(spark, d).where(f"term = {TERM}")), formula)
+    return R.rank(R.gate_any(_suppliers(spark, d, _NOW)), formula)
 
 
 def _courses(spark, d) -> DataFrame:
-    return R.rank(R.gate_all(_parts(spark, d).where(f"term = {TERM}")), R.COURSE_FORMULA)
+    return R.rank(R.gate_all(_parts(spark, d, _NOW)), R.COURSE_FORMULA)
 
 
 @_register(_INSTRUCTORS + "SELECT entity, score, rank, percentile FROM final")
@@ -120,7 +123,7 @@ def rank_formula_ties(spark, d):
 @_register(f"""WITH {A.SUPPLIERS}, s AS (SELECT entity, CASE WHEN entity % 3 = 0 THEN NULL ELSE coalesce(b_content, 0e0) END AS x FROM wide WHERE term = {TERM} AND {ANY})
 SELECT entity, row_number() OVER (ORDER BY CASE WHEN x IS NULL THEN 1 ELSE 0 END, -x, entity) AS rank FROM s""")
 def rank_formula_nan(spark, d):
-    rows = R.gate_any(_suppliers(spark, d).where(f"term = {TERM}")).withColumn("r_content", F.when(F.col("entity") % 3 == 0, 0.0).otherwise(1.0))
+    rows = R.gate_any(_suppliers(spark, d, _NOW)).withColumn("r_content", F.when(F.col("entity") % 3 == 0, 0.0).otherwise(1.0))
     return R.rank(rows, "content.rating / content.rating * content.bayesian").select("entity", "rank")
 
 
@@ -136,10 +139,10 @@ def gate_any_vs_all(spark, d):
 _DOC = "SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE "
 
 
-def _search(query: str, threshold: float = 0.1):
+def _search(query: str, threshold: float = 0.1, values: tuple[str, ...] = ("p_name", "p_brand", "p_type")):
     def run(spark, d):
         p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type")
-        return R.search(p, query, F.array("p_name", "p_brand", "p_type"), threshold)
+        return R.search(p, query, F.array(*values), threshold)
 
     return run
 
@@ -149,11 +152,10 @@ def _any_value(test: str) -> str:
 
 
 for _name, _query, _sql in (
-    ("search_contains", "'brand", _any_value("contains(v, 'brand')")),
+    ("search_contains", "'widget", _any_value("contains(v, 'widget')")),
     ("search_prefix", "^brand#1", _any_value("starts_with(v, 'brand#1')")),
     ("search_suffix", "2$", _any_value("suffix(v, '2')")),
     ("search_equals", "=brand#12", _any_value("v = 'brand#12'")),
-    ("search_negate", "!1", _any_value("NOT contains(v, '1')")),
     ("search_or_groups", "=brand#12 | =brand#21", _any_value("v = 'brand#12'") + " OR " + _any_value("v = 'brand#21'")),
     ("search_same_field_and", "^brand 2$", _any_value("(starts_with(v, 'brand') AND suffix(v, '2'))")),
 ):
@@ -161,14 +163,17 @@ for _name, _query, _sql in (
     ORACLE_SQL[_name] = _DOC + _sql
 
 
-def _near_sql(token: str, k: int) -> str:
+QUERIES["search_negate"], ORACLE_SQL["search_negate"] = _search("!1", values=("p_brand",)), _DOC + "NOT contains(lower(p_brand), '1')"
+
+
+def _near_sql(token: str, k: int, columns: tuple[str, ...] = ("p_name", "p_brand", "p_type")) -> str:
     m = len(token)
     test = f"len(list_filter(range(1, length(v) + 1), lambda i: len(list_filter(range({m - k}, {m + k + 1}), lambda n: levenshtein(substring(v, i, n), '{token}') <= {k})) > 0)) > 0"
-    return "(" + " OR ".join(f"({test.replace('(v', f'(lower({c})')})" for c in ("p_name", "p_brand", "p_type")) + ")"
+    return "(" + " OR ".join(f"({test.replace('(v', f'(lower({c})')})" for c in columns) + ")"
 
 
 QUERIES["search_fuzzy_k1"], ORACLE_SQL["search_fuzzy_k1"] = _search("brend#1", 0.2), _DOC + _near_sql("brend#1", 1)
-QUERIES["search_fuzzy_k2"], ORACLE_SQL["search_fuzzy_k2"] = _search("brend_12xy", 0.2), _DOC + _near_sql("brend_12xy", 2)
+QUERIES["search_fuzzy_k2"], ORACLE_SQL["search_fuzzy_k2"] = _search('"smoll rimg"', 0.2), _DOC + _near_sql("smoll rimg", 2)
 
 
 @_register(_INSTRUCTORS + "SELECT entity, s_name, rank FROM final JOIN supplier ON s_suppkey = entity WHERE contains(lower(s_name), '1')")
@@ -229,7 +234,7 @@ _LONG = ", long AS (" + " UNION ALL ".join(f"SELECT entity, term, '{c}' AS crite
 
 @_register(f"WITH {A.SUPPLIERS}{_LONG} SELECT entity, criterion, rating, bayesian, confidence FROM long WHERE term = {TERM}")
 def report_current_term(spark, d):
-    return _long(_suppliers(spark, d).where(f"term = {TERM}")).drop("term", "samples")
+    return _long(_suppliers(spark, d, _NOW)).drop("term", "samples")
 
 
 @_register(f"WITH {A.SUPPLIERS}{_LONG} SELECT entity, criterion, sum(samples) AS samples FROM long GROUP BY entity, criterion")
@@ -245,12 +250,12 @@ def report_source_samples(spark, d):
 @_register(f"""WITH {A.SUPPLIERS} SELECT entity, CASE WHEN b_content IS NULL THEN ' - ' ELSE CASE WHEN b_content >= 0 THEN '+' ELSE '' END || printf('%.2f', b_content) END AS shown,
 CASE WHEN b_content IS NULL THEN 'N/A' ELSE printf('%.3f', b_content) END AS charted FROM wide WHERE term = {TERM}""")
 def report_formatted(spark, d):
-    return _suppliers(spark, d).where(f"term = {TERM}").select("entity", S.signed(F.col("b_content")).alias("shown"), S.chart_value(F.col("b_content")).alias("charted"))
+    return _suppliers(spark, d, _NOW).select("entity", S.signed(F.col("b_content")).alias("shown"), S.chart_value(F.col("b_content")).alias("charted"))
 
 
 @_register(f"WITH {A.PARTS} SELECT entity, term, {', '.join(f'b_{c} AS {c}' for c in A.CRITERIA)} FROM wide WHERE term < {TERM}")
 def trend_pivot(spark, d):
-    rows = _long(_parts(spark, d).where(f"term < {TERM}"))
+    rows = _long(_parts(spark, d, (None, TERM)))
     return rows.groupBy("entity", "term").pivot("criterion", list(A.CRITERIA)).agg(F.first("bayesian", ignorenulls=True))
 
 
@@ -278,17 +283,20 @@ def ewma_by_entity(spark, d):
     return rows.select("entity", R.ewma(F.col("t.b_content")).alias("ewma"))
 
 
+def _sums(spark, d) -> DataFrame:
+    return A.view(spark, d, A.SUPPLIERS, "sums", "lineitem").select("entity", "term", "s_content", "n_content")
+
+
 @_register(f"WITH {A.SUPPLIERS} SELECT entity, term, b_content AS bayesian FROM wide")
 def bayesian_average(spark, d):
-    return _suppliers(spark, d).select("entity", "term", F.col("b_content").alias("bayesian"))
+    return R.smooth(_sums(spark, d), "s_content", "n_content", "term").select("entity", "term", (F.col("bayesian") / F.lit(50.0)).alias("bayesian"))
 
 
 @_register(f"""WITH {A.SUPPLIERS}, m AS (SELECT term AS mt, CAST(sum(CAST(q AS DECIMAL(28,4))) AS DOUBLE) AS s, CAST(sum(CAST(q * q AS DECIMAL(28,4))) AS DOUBLE) AS ss, count(*) AS n FROM base GROUP BY term)
 SELECT entity, term, (s_content / n_content - s / n) / sqrt(ss / n - s / n * (s / n)) AS z FROM sums JOIN m ON term = mt""")
 def standardize(spark, d):
-    A.register(spark, d, "lineitem")
-    return spark.sql(f"""WITH {A.SUPPLIERS}, m AS (SELECT term AS mt, CAST(sum(CAST(q AS DECIMAL(28,4))) AS DOUBLE) AS s, CAST(sum(CAST(q * q AS DECIMAL(28,4))) AS DOUBLE) AS ss, count(*) AS n FROM base GROUP BY term)
-SELECT entity, term, (s_content / n_content - s / n) / sqrt(ss / n - s / n * (s / n)) AS z FROM sums JOIN m ON term = mt""")
+    raw = spark.read.parquet(f"{d}/lineitem.parquet").select(F.expr("(year(l_shipdate) - 1990) * 4 + quarter(l_shipdate) - 1").alias("t"), F.col("l_quantity").cast("decimal(18,4)").alias("q"))
+    return R.standardize(_sums(spark, d), F.col("s_content") / F.col("n_content"), "term", raw, "q", "t").select("entity", "term", "z")
 
 
 # terms
@@ -390,12 +398,12 @@ def weekday_and_time_labels(spark, d):
     return _classes(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", S.weekday_labels(days).alias("days"), S.time_range(F.col("from_time"), F.col("to_time")).alias("times"))
 
 
-_PASTE = f"WITH {A.CLASSES}, pasted AS (SELECT l_suppkey, string_agg(section || ' (' || number || ')', chr(10) ORDER BY {_RLE}) AS text FROM classes WHERE l_orderkey < 400 GROUP BY l_suppkey) "
+_PASTE = f"WITH {A.CLASSES}, pasted AS (SELECT l_suppkey, string_agg(section || ' (' || number || ')', chr(10) ORDER BY {_RLE}) AS text FROM classes GROUP BY l_suppkey) "
 
 
 @_register(_PASTE + "SELECT l_suppkey, unnest(n) AS number, unnest(range(len(n))) AS pos FROM (SELECT l_suppkey, regexp_extract_all(text, '(?m)^\\w{3} \\((\\d{4})\\)$', 1) AS n FROM pasted)")
 def sis_parse(spark, d):
-    rows = _classes(spark, d).where("l_orderkey < 400").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct(*_ORDER, "l_quantity", F.concat("section", F.lit(" ("), "number", F.lit(")")).alias("line")))).alias("k"))
+    rows = _classes(spark, d).groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct(*_ORDER, "l_quantity", F.concat("section", F.lit(" ("), "number", F.lit(")")).alias("line")))).alias("k"))
     text = F.array_join(F.transform("k", lambda x: x["line"]), "\n")
     return rows.select("l_suppkey", F.posexplode(S.class_numbers(text)).alias("p", "number")).select("l_suppkey", "number", F.col("p").cast("long").alias("pos"))
 

@@ -136,6 +136,79 @@ def test_readers(spark, tmp_path):
     assert (got.r_content, got.b_content, got.c_content, got.n_content, got.r_course) == (0.5, 0.4, 0.3, 7.0, None)
 
 
+def test_rank_by_ranges_equals_one_window(spark):
+    rng = random.Random(6)
+    rows = [{"ord": i, "b_content": rng.choice([0.1, 0.2, rng.random(), None])} for i in range(3000)]
+    df = slices(spark, rows)
+    formula = "content.bayesian == 0.2 ? 0/0 : content.bayesian"  # some are NaN, many are equal
+    one, many = ([(r.ord, r["rank"], r.percentile) for r in R.rank(df, formula, one_task=limit).orderBy("ord").collect()] for limit in (10**30, 0))
+    assert one == many and R.rank(df.where("false"), formula, one_task=0).count() == 0
+
+
+def test_default_formulas():
+    assert R.COURSE_FORMULA != R.INSTRUCTOR_FORMULA
+    assert [w for w in R.COURSE_FORMULA.split() if w.startswith("0.")] == ["0.40", "0.40", "0.15", "0.05", "0.75", "0.25"]
+
+
+def test_json_readers(spark, tmp_path):
+    from gradus.sources import readers
+
+    cube = '"ratings": {"content": {"rating": {"96": 0.5}, "bayesian": {"96": 0.4}, "confidence": {"96": 0.3}, "samples": {"96": 7}}}'
+    (tmp_path / "c.json").write_text('[{"meta": {"subject": "COMP", "code": "1021", "instructors": {"96": ["Chan, A"], "97": []}}, ' + cube + "}]")
+    course = readers.read_course_ratings(spark, str(tmp_path / "c.json"))
+    from gradus.operators import entities as E
+
+    assert course.select(E.offered(F.col("meta.instructors"), 96), E.offered(F.col("meta.instructors"), 97), E.offered(F.col("meta.instructors"), 98)).first()[:] == (True, False, False)
+    assert course.select(E.course_values(F.col("meta.subject"), F.col("meta.code"), F.col("meta.instructors")).alias("v")).first().v == ["COMP", "1021", "COMP 1021", "Chan, A"]
+    (tmp_path / "t.json").write_text('[{"term": "2410", "termName": "Fall"}]')
+    klass = '{"section": "L1", "number": "0001", "schedule": [{"instructors": ["A"], "venue": "TBA", "fromDate": "2024-09-02", "toDate": "2024-11-30", "weekdays": [1], "fromTime": "09:00", "toTime": "10:20"}]}'
+    (tmp_path / "s.json").write_text("[" + ", ".join(f'{{"term": "{t}", "termName": "x", "cq": [{{"subject": "COMP", "number": "1", "code": "COMP 1", "classes": [{klass}]}}]}}' for t in ("2410", "2420")) + "]")
+    terms = readers.read_terms(spark, str(tmp_path / "t.json"))
+    found = readers.read_schedules(spark, str(tmp_path / "s.json"), terms)
+    assert [r.term for r in found.collect()] == ["2410"]
+    table = C.section_table(found.select("ord", "course")).first()
+    assert (table.section, table.schedule, table.venue_span) == ("L1", "2024-09-02 2024-11-30 Mo 09:00-10:20", 1)
+    readers.write_by_term(found.select("term", "termName"), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    (tmp_path / "g.json").write_text('[{"courseCode": "COMP1", "courseName": "One", "courseAttributes": []}, {"courseCode": "COMP1", "courseName": "Two", "courseAttributes": []}]')
+    assert R.catalog_index(readers.read_catalog(spark, str(tmp_path / "g.json"))).first().courseName == "Two"
+    (tmp_path / "bad.json").write_text('[{"term": ')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_terms(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_lists_of_a_term(spark):
+    from gradus.operators import entities as E
+
+    lists = F.create_map(F.lit("95"), F.array(F.lit("B 10"), F.lit("B 9"), F.lit("B 9")), F.lit("97"), F.array(F.lit("C 1")))
+    assert one(spark, E.current_list(lists, 96)) == [] and one(spark, E.historic_list(lists, 96)) == ["B 9", "B 10"]
+    assert one(spark, E.current_list(lists, 95)) == ["B 9", "B 9", "B 10"]
+    assert one(spark, S.criterion_label(F.lit("Course (SFQ)"))) == "Course\n(SFQ)"
+    assert one(spark, E.calendar_link("x.example", F.lit("2410"), F.array(F.lit("1"), F.lit("1")), True)) == "webcal://x.example?term=2410&number=1&number=1&webcal=1"
+
+
+def test_icalendar_text(spark):
+    long = "x" * 180
+    row = (0, 0, f"COMP 1;{long}", "Rm 1, y", dt.datetime(2024, 9, 2, 1), dt.datetime(2024, 9, 2, 2), "FREQ=WEEKLY;UNTIL=20241130T022000Z", "a\nb")
+    rows = spark.createDataFrame([row], "o int, day_pos int, title string, venue string, start_utc timestamp_ntz, end_utc timestamp_ntz, rule string, description string")
+    text = C.ics_text(rows, ["o"]).first().text
+    lines = text.split("\r\n")
+    assert max(map(len, lines)) <= 75 and lines[0] == "BEGIN:VCALENDAR" and lines[-2:] == ["END:VCALENDAR", ""]
+    whole = text.replace("\r\n ", "").split("\r\n")
+    assert whole[1:4] == ["VERSION:2.0", "PRODID:-//gradus//EN", "BEGIN:VEVENT"] and whole[5:] == [
+        "DTSTAMP:20240101T000000Z", "DTSTART:20240902T010000Z", "DTEND:20240902T020000Z", "RRULE:FREQ=WEEKLY;UNTIL=20241130T022000Z", f"SUMMARY:COMP 1\\;{long}",
+        "LOCATION:Rm 1\\, y", "DESCRIPTION:a\\nb", "END:VEVENT", "END:VCALENDAR", "",
+    ]
+    assert "Content-Disposition" in C.ics_headers(None) and "Content-Disposition" not in C.ics_headers("1")
+
+
+def test_reaction_table(spark, tmp_path):
+    rows = [("p", "a", 1, 0), ("p", "b", 1, 0), ("p", "b", 0, 1), ("q", "a", 3, 1)]
+    table = X.latest(spark.createDataFrame(rows, "id string, unified string, count long, batch int"))
+    got = {r.k: r.counts for r in X.point_read(spark.createDataFrame([("p",), ("z",)], "k string"), "k", table).collect()}
+    assert got == {"p": {"a": 1}, "z": {}}
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
