@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, saved, shared_dir  # noqa: F401
+
 _U = np.uint64
 MIX_A, MIX_B = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
@@ -20,56 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir, or the one the session was given by setCheckpointDir.
-
-    Only a session within one process (tests) may do without: it gets a temporary folder of its own. On a cluster that would be a
-    folder of the driver that no executor sees, so there the setting must be given.
-    """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if path:
-        return path
-    if not re.fullmatch(r"local(\[.*\])?", sc.master or ""):
-        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
-    if sc.applicationId not in _OWN:
-        _OWN[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="gradus-shared-")
-    return _OWN[sc.applicationId]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may be gone at exit
-        pass
-
-
-def saved(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, is read as often as needed.
-
-    The files go at the end of the driver, or before by discard().
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/gradus-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._saved = atexit.register(_remove, spark, path), (spark, path)
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove the files of saved tables that nothing will read again."""
-    for df in tables:
-        if getattr(df, "_saved", None):
-            _remove(*df._saved[1])
-            df._saved = None
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner drop shuffle files of finished jobs (they count as disk until the driver collects garbage)."""
     import gc
