@@ -1,11 +1,14 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk.
 
-Trusted positives are labelled rows of quality 1; unlabelled are any documents, their labels unseen; the
-class prior is the share of quality 1 among labelled rows. A small network on text statistics minimises
+Trusted positives are labelled rows of quality 1; unlabelled are any documents, their labels unseen. A small network on text
+statistics minimises, with logistic losses and the class prior,
   prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
-with logistic losses. At most FIT_ROWS rows of each kind are used (least hash of the id); the prior counts all.
+The prior is estimated from positives and unlabelled documents alone: a network is fitted on half of them (two folds by a hash of the id, so
+copies of an id stay together), and over the scores of the other half the prior is the least share(unlabelled >= t) / share(positive >= t) of any
+threshold t, with a margin for small counts (where only positives score, the two shares differ by the prior). At most FIT_ROWS rows of each
+kind are used (least hash of the id).
 
-Cases: see text_stats; where no row is labelled 1, every score is the prior 0.5.
+Cases: see text_stats; where no row is labelled 1, every score is 0.5.
 """
 
 from __future__ import annotations
@@ -74,17 +77,47 @@ class PUNet:
         return _sig(np.maximum(0, self._in(x) @ w[0] + w[1]) @ w[2] + w[3][0])
 
 
+def class_prior(pos: np.ndarray, unl: np.ndarray, margin: float = 0.1) -> float:
+    """The share of positives among unlabelled rows, from scores of both that no fit has seen."""
+    cuts = np.unique(np.concatenate([pos, unl]))[::-1]
+    p = (len(pos) - np.searchsorted(np.sort(pos), cuts)) / len(pos)
+    u = (len(unl) - np.searchsorted(np.sort(unl), cuts)) / len(unl)
+    slack = lambda n: np.sqrt(np.log(4 / margin) / (2 * n))  # noqa: E731  of a share that n rows give
+    ok = p > 2 * slack(len(pos))
+    upper = (u[ok] + (slack(len(unl)) + slack(len(pos)))) / p[ok]
+    if not len(upper):
+        return 0.5
+    best = np.argmin(upper)
+    return float(np.clip(u[ok][best] / p[ok][best], 0.02, 0.98))
+
+
+def fit_with_prior(pos: np.ndarray, unl: np.ndarray, pos_half: np.ndarray, unl_half: np.ndarray) -> tuple[PUNet, float]:
+    """The network of all rows, with the prior that two networks of one half each find in the other."""
+    found = []
+    for half in (False, True):
+        p, u = pos[pos_half == half], unl[unl_half == half]
+        if len(p) and len(u) and len(p) < len(pos) and len(u) < len(unl):
+            net = PUNet().fit(p, u, 0.5, epochs=20)
+            found.append(class_prior(net.score(pos[pos_half != half]), net.score(unl[unl_half != half])))
+    prior = float(np.mean(found)) if found else 0.5
+    return PUNet().fit(pos, unl, prior), prior
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int = 5, held: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     stats = saved(text_stats(docs).select("id", "x"), "features")
     learn = stats.where(fold(F.col("id"), folds) != held)
     marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     marks = marks.where(fold(F.col("doc_id"), folds) != held)
-    share = marks.agg(F.avg(F.col("quality").cast("double"))).first()[0]
     good = marks.where("quality = 1").select(F.col("doc_id").alias("id"))
-    take = lambda df: np.array([r["x"] for r in first_by_hash(df, fit_rows).select("x").collect()]).reshape(-1, len(FEATURES))
-    pos, unl = take(learn.join(good, "id", "left_semi")), take(learn)
-    net = PUNet().fit(pos, unl, float(np.clip(share, 0.02, 0.98))) if len(pos) else None
+    half = (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(2)) == 0).alias("half")
+
+    def take(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        rows = first_by_hash(df, fit_rows).select("x", half).collect()
+        return np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["half"] for r in rows], bool)
+
+    (pos, pos_half), (unl, unl_half) = take(learn.join(good, "id", "left_semi")), take(learn)
+    net = fit_with_prior(pos, unl, pos_half, unl_half)[0] if len(pos) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
