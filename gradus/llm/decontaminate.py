@@ -132,5 +132,6 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
 
 def without_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The documents that leak no item, with all their columns; a leak is known by its text, whatever the id."""
-    bad = leaking(docs.select("doc_id", "text"), items, coverage).select(F.col("doc_id").alias("_leaking"), F.col("th").alias("_th")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_leaking")) & (F.xxhash64("text") == F.col("_th")), "left_anti")
+    bad = leaking(docs.select("doc_id", "text"), items, coverage).select("doc_id", "th").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")), "left_anti").select("row.*")

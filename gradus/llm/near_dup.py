@@ -246,10 +246,8 @@ def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     differ the one whose other columns have the least hash.
     """
     classes = near_duplicates(docs, similarity)
-    roots = classes.where("class_key is not null and id <=> class_id").groupBy("class_key").agg(F.min("id").alias("_id"), F.min("v").alias("_v"))
-    kept = docs.where(F.col("text").isNotNull()).withColumn("_hash", F.xxhash64("text"))
-    kept = kept.join(roots, (F.col("_hash") == F.col("_v")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    kept = kept.groupBy("class_key").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row"))
-    kept = kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
-    return kept.union(docs.where(F.col("text").isNull()))
+    roots = classes.where("class_key is not null and id <=> class_id").groupBy("class_key").agg(F.min("id").alias("root_id"), F.min("v").alias("root"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("v"), F.col("text").isNull().alias("none"))
+    kept = rows.where("not none").join(roots, (F.col("v") == F.col("root")) & F.col("id").eqNullSafe(F.col("root_id")))
+    kept = kept.groupBy("class_key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row")
+    return kept.union(rows.where("none").select("row")).select("row.*")
