@@ -336,6 +336,29 @@ def test_extract_keeps_repeated_and_copied_pages(spark):
     assert all(r.text == f"T{min(r.page_id - 100, 2)}\nSeen by all\nOne {min(r.page_id - 100, 2)}" for r in got if r.page_id >= 100)
 
 
+def test_extract_without_a_main_container(spark):
+    """The template tells the article from a header and a sidebar that change on every page; without it they stay."""
+    rng = random.Random(4)
+    page = "<html><body><div class=x1><b>Site</b><i>{h}</i></div><div class=x2><p>Read this too</p><p>{a}</p><p>{b}</p></div><div class=x3><em>Now: {s}</em></div><div class=x4>End</div></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(h=prose(3, rng), a=prose(30, rng), b=prose(30, rng), s=prose(4, rng))) for i in range(40)]
+    rows += [(100, "http://h.example/x", page.format(h="h", a="Site", b=prose(30, rng), s="s"))]  # text of the template, out of its order
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: html_extract.re.findall("<p>(.*?)</p>", h)[1:] for i, _, h in rows}
+    assert all(got[i].split("\n") == want[i] for i in want)
+    assert all(len(html_extract.main_text(h).split("\n")) > 2 for _, _, h in rows)
+
+
+def test_extract_edges(spark):
+    deep = "<div>" * 20000 + "<article><p>In</p></article>" + "</div>" * 20000 + "<nav>" + "<i>" * 500 + "menu" + "</i>" * 500 + "</nav>"
+    named = "<article><h1 class='article-header'>H</h1><p class='share-price'>S</p><p class='ad'>A</p><div class='share-bar'>B</div><p>x &lt;y&gt; &#233;</p></article>"
+    rows = [(1, "http://a/", deep), (2, "http://a/", named), (3, None, "<p>no host"), (3, None, "<p>no host"), (4, "http://a/", "<article>" + "<p>w w</p>" * 30000 + "</article>"), (5, "http://a/", "<div <p>< broken")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, tokens int")
+    got = [(r.page_id, r.text, r.n_chars) for r in html_extract.extract(df).collect()]
+    assert sorted(g for g in got if g[0] < 4) == [(1, "In", 2), (2, "H\nS\nx <y> é", 11), (3, "no host", 7), (3, "no host", 7)]
+    assert next(n for i, _, n in got if i == 4) == 30000 * 4 - 1
+    assert html_extract.extract(df.where("false")).count() == 0
+
+
 def test_language(spark):
     rows = [(i, " ".join(RNG.choice(["the", "thing", "with", "house"]) for _ in range(30)), "en") for i in range(40)]
     rows += [(100 + i, " ".join(RNG.choice(["der", "schön", "nicht", "haus"]) for _ in range(30)), "de") for i in range(40)]
