@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, ascii_words, free_shuffles, hashed, mix, saved, windows_of
+from .common import MIX_A, ascii_words, discard, free_shuffles, hashed, mix, saved, windows_of
 
 K, ROWS = 120, 5
 WORDS_PER_SHINGLE, SIMILARITY = 5, 0.8
@@ -190,17 +190,18 @@ def _across(open_: DataFrame, regions: DataFrame, similarity: float) -> DataFram
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of the edges: least-neighbour hooking and pointer jumping until nothing changes."""
     both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("root")), "labels")
+    labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("root"), F.lit(0).cast("long").alias("old")), "labels")
     while True:
         of_b = labels.select(F.col("v").alias("b"), F.col("root").alias("rb"))
         best = both.join(of_b, "b").groupBy("a").agg(F.min("rb").alias("m"))
         hooked = labels.join(best, labels.v == best.a).select("v", F.least("root", "m").alias("root"), F.col("root").alias("old"))
         up = labels.select(F.col("v").alias("p"), F.col("root").alias("up"))
         nxt = saved(hooked.join(up, F.col("root") == F.col("p"), "left").select("v", F.least("root", F.coalesce("up", "root")).alias("root"), "old"), "labels")
-        changed = nxt.where("root <> old").limit(1).count()
-        labels = nxt.select("v", "root")
-        if not changed:
-            return labels
+        discard(labels)
+        labels = nxt
+        if not labels.where("root <> old").limit(1).count():
+            discard(both)
+            return labels.select("v", "root")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,7 +224,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     # groups that still hold several classes: texts of different classes that part from the leader in the same regions
     own = groups.join(labels, "v", "left").select("band", "v", "degree", F.coalesce("root", "v").alias("root"))
     several = own.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    more = saved(_across(saved(own.join(several, "band"), "open"), held, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
+    open_ = saved(own.join(several, "band"), "open")
+    more = saved(_across(open_, held, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
     extra = saved(_checked(more, held, similarity), "links")
     if extra.limit(1).count():
         labels = components(edges.union(extra))
@@ -233,6 +235,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     # a null text has the hash of nothing; its class is its row, told apart by id
     small = small.withColumn("class_key", F.when(F.col("none"), F.lit(None).cast("long")).otherwise(F.coalesce("root", "v"))).select("id", "v", "class_key")
     small = saved(small, "classes")
+    discard(signed, groups, held, tried, edges, open_, more, extra)
     size = small.where("class_key is not null").groupBy("class_key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     with_text = small.where("class_key is not null").join(size, "class_key").select("id", "v", "class_key", "class_id", "class_size")
     alone = small.where("class_key is null").select("id", "v", "class_key", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))

@@ -122,7 +122,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(net.score(x) if net else np.full(len(x), 0.5))], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(net.score(x), 9) if net else np.full(len(x), 0.5))], names=["id", "score"])
 
     scored = stats.mapInArrow(run, f"id {stats.schema['id'].dataType.simpleString()}, score double")
     return scored.select(F.col("id").alias("doc_id"), (fold(F.col("id"), folds) == held).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
