@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gradus.llm import decontaminate, near_dup, packing, suffix_dedup, toxicity
-from gradus.llm.common import saved, table
+from gradus.llm.common import discard, saved, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +38,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("suffix_dedup", cut_repeats), ("decontamination", drop_leaks), ("packing", pack)]
 
-#: models and tokenizers are not expressible in SQL; tests/llm holds the pipeline against its parts
+#: models and tokenizers are not expressible in SQL; tests/llm holds the pipeline against brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(docs)  # what the stage read; the input table is none of ours
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
