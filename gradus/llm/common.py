@@ -27,6 +27,23 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """What a worker remembers between tasks, made once under a name. It holds one such thing at a time: a worker serves many operators."""
+    if name not in _HELD:
+        release()
+        WORDS.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def release() -> None:
+    """Forget what other operators have left in this worker."""
+    _HELD.clear()
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, fold, mix, saved
+from .common import ascii_words, fold, held, mix, saved
 
 ORDER = 5
 SENT_CELLS = 16_000_000  # about 30 bytes each over all orders
@@ -197,9 +197,6 @@ class Known(dict):
         return self.rows[np.fromiter(map(self.__getitem__, words), np.int64, len(words))].sum(0, dtype=float)
 
 
-_KNOWN: dict[str, Known] = {}
-
-
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(v, text) -> v, core of a word, n: how often it is in the text; words without a letter are left out."""
     for b in batches:
@@ -277,10 +274,7 @@ def identify(docs: DataFrame, learn: DataFrame, most: int = SENT_CELLS) -> DataF
     name = xxhash.xxh64_hexdigest(repr(langs).encode() + b"".join(x.tobytes() for x in model.tables[0][:2]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _KNOWN:
-            _KNOWN.clear()
-            _KNOWN[name] = Known(sent.value)
-        known = _KNOWN[name]
+        known = held(f"languages {name}", lambda: Known(sent.value))
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             lo = 0
@@ -308,12 +302,12 @@ def identify(docs: DataFrame, learn: DataFrame, most: int = SENT_CELLS) -> DataF
     return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, lang_pred string, score double, entropy double")
 
 
-def language_id(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
+def language_id(docs: DataFrame, folds: int = 4, held_fold: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score, accepted for every row; learns from the rows outside the held fold."""
-    out = fold(F.col("doc_id"), folds) == held
+    out = fold(F.col("doc_id"), folds) == held_fold
     rows = docs.select(F.col("doc_id").alias("id"), "text")
     scored = saved(identify(rows, docs.where(~out).select("lang", "text")), "languages")
-    held_out = fold(F.col("id"), folds) == held
+    held_out = fold(F.col("id"), folds) == held_fold
     limits = scored.where(~held_out & F.col("entropy").isNotNull()).groupBy("lang_pred").agg(F.percentile_approx("entropy", 0.995, 1000).alias("most"))
     joined = scored.join(F.broadcast(limits.select(F.col("lang_pred").alias("l"), "most")), F.col("lang_pred") == F.col("l"), "left")  # one row a language
     return joined.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score", F.coalesce(F.col("entropy") <= F.col("most"), F.lit(False)).alias("accepted"))

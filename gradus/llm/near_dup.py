@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, ascii_words, discard, free_shuffles, hashed, mix, saved, windows_of
+from .common import MIX_A, ascii_words, discard, free_shuffles, hashed, mix, release, saved, windows_of
 
 K, ROWS = 120, 5
 WORDS_PER_SHINGLE, SIMILARITY = 5, 0.8
@@ -110,6 +110,7 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(vertex, text) -> vertex, bands, regions (32-bit, distinct); a text is signed once in a task."""
     seen: set[int] = set()
+    release()
     for batch in batches:
         vertices, texts = batch.column(0).to_pylist(), batch.column(1)
         lo = 0
@@ -118,7 +119,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while lo < len(vertices) and size < 150_000:
                 v = vertices[lo]
                 if v not in seen:
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 500_000:
                         seen.clear()
                     seen.add(v)
                     w = ascii_words(texts[lo].as_py().lower())

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, mix, saved
+from .common import MIX_A, held, mix, saved
 
 WINDOW = 2048
 END_ID = 1
@@ -163,17 +163,12 @@ class RunIds:
         return out
 
 
-_IDS: dict[str, RunIds] = {}
-
-
 def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Pass 1: a row for each document: part, start_in_part, n_ids, ids (zstd, 32-bit little-endian), with the id column as `doc`."""
     end = np.asarray([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _IDS:
-            _IDS[path] = RunIds(path)
-        words, start, press = _IDS[path], 0, zstandard.ZstdCompressor(level=1)
+        words, start, press = held(f"tokenizer {path}", lambda: RunIds(path)), 0, zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids, texts, parts = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
             lo = 0

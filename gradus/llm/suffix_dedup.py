@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, discard, free_shuffles, mix, saved
+from .common import MIX_A, discard, free_shuffles, mix, release, saved
 
 WINDOW, SEED, PIECE = 200, 32, 1 << 19
 BIG = 2000  # contexts of a block beyond which it is split before the merge
@@ -129,6 +129,7 @@ def _slices(b: pa.RecordBatch, text_at: int, most: int = 2_000_000) -> Iterator[
 def _sampled_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u, raw) -> u, seed, context, place, far, near, w; equal texts of a task give rows once, with w = 2."""
     held: dict[int, bool] = {}
+    release()
     for b in batches:
         us = b.column(0).to_pylist()
         for lo, hi in _slices(b, 1):
@@ -142,7 +143,7 @@ def _sampled_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 s = _suffixes(b.column(1)[i].as_buffer().to_pybytes())
                 for c, x in zip(cols, (np.full(len(s[0]), u), *s, np.full(len(s[0]), w, np.int32)), strict=True):
                     c.append(x)
-            if len(held) > 2_000_000:
+            if len(held) > 500_000:
                 held.clear()
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["u", "seed", "context", "place", "far", "near", "w"])

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, first_by_hash, fold, saved
+from .common import ascii_words, first_by_hash, fold, held, saved
 
 FIT_ROWS, PER_DOC, TOP = 12_000, 6, 5
 LANDMARKS, NEUTRAL, CANDIDATES = 64, 20, 2000
@@ -107,7 +107,7 @@ class Kernel:
 
     def rows(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        step = max(20, 300_000 // max(1, len(self.landmarks)))  # bounds what is looked up at once
+        step = max(20, 150_000 // max(1, len(self.landmarks)))  # bounds what is looked up at once
         for lo in range(0, len(words), step):
             who, what, value = features(words[lo : lo + step])
             place = self.place[what]
@@ -139,7 +139,7 @@ class Model:
 class Known(dict):
     """word -> row of kernel values (0: none worth keeping) and whether it ends a sentence; when `most` is reached, words in use stay."""
 
-    def __init__(self, kernel: Kernel, most: int = 600_000):
+    def __init__(self, kernel: Kernel, most: int = 300_000):
         self.kernel, self.most, self.cores = kernel, most, {}
         self.rows = [np.zeros((1, len(kernel.landmarks)), np.float32)]
         self.count = 1
@@ -187,17 +187,11 @@ def _sentences(known: Known, words: list[str], table: np.ndarray) -> tuple[np.nd
     return np.add.reduceat(table[at[active] >> 1], first, axis=0), n
 
 
-_KNOWN: dict[str, Known] = {}
-
-
 def _over(rows: DataFrame, kernel_in, name: str, result, kind: str, names: list[str]) -> DataFrame:
     """Run result(sentence rows, number of sentences) over every text; rows: id, text, then columns passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _KNOWN:
-            _KNOWN.clear()
-            _KNOWN[name] = Known(kernel_in.value)
-        known = _KNOWN[name]
+        known = held(f"toxicity {name}", lambda: Known(kernel_in.value))
         for b in batches:
             texts, lo = b.column(1), 0
             while lo < b.num_rows:
@@ -254,7 +248,8 @@ def choose_landmarks(labelled: DataFrame, most: int = LANDMARKS, neutral: int =
     others = candidates + [r["word"] for r in plain if r["word"] not in set(candidates)]
     table = {r["word"]: (r["bad"], r["good"]) for r in [*plain, *strong]}
     counts = np.array([table[w] for w in others], float)
-    sim = Kernel(candidates).rows(others)  # (others, candidates)
+    # (others, candidates); a kernel's table has a column for each of its words, so they come in groups
+    sim = np.concatenate([Kernel(candidates[i : i + 100]).rows(others) for i in range(0, len(candidates), 100)], axis=1)
     sim[sim < 0.25] = 0
     bad, good = sim.T @ counts[:, 0], sim.T @ counts[:, 1]
     p_bad, p_good = np.minimum(bad / n_bad, 1), np.minimum((good + 0.5) / (n_good + 1), 1)
@@ -318,18 +313,19 @@ def train(labelled: DataFrame, toxic_share: float = 0.5) -> Model | None:
     whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
     sent = labelled.sparkSession.sparkContext.broadcast(kernel)
 
-    def worst(s: np.ndarray, n: int) -> list[float]:  # the number of sentences, and the most suspicious ones end to end
+    def worst(s: np.ndarray, n: int) -> bytes:  # the number of sentences, and the most suspicious ones end to end
         s = s[np.argsort(-s[:, :n_toxic].sum(axis=1), kind="stable")[:PER_DOC]]
-        return [float(n), *s.reshape(-1).astype(float).tolist()]
+        return np.concatenate([[n], s.reshape(-1)]).astype("<f4").tobytes()
 
     kind = labelled.schema["id"].dataType.simpleString()
-    got = _over(labelled.select("id", "text", "toxic"), sent, name, worst, f"id {kind}, toxic int, k array<double>", ["id", "toxic", "k"]).select("toxic", "k").collect()
+    got = _over(labelled.select("id", "text", "toxic"), sent, name, worst, f"id {kind}, toxic int, k binary", ["id", "toxic", "k"]).select("toxic", "k").collect()
     y = np.array([1.0 if r["toxic"] else -1.0 for r in got])
-    count = [int(r["k"][0]) for r in got]
+    sent_back = [np.frombuffer(r["k"], "<f4") for r in got]
+    count = [int(k[0]) for k in sent_back]
     # an empty sentence stands for documents that have no other
-    rows = [np.array(r["k"][1:]).reshape(-1, len(landmarks)) if len(r["k"]) > 1 else np.zeros((1, len(landmarks))) for r in got]
+    rows = [k[1:].reshape(-1, len(landmarks)) if len(k) > 1 else np.zeros((1, len(landmarks)), np.float32) for k in sent_back]
     bags = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    z_all = np.concatenate(rows) @ whiten
+    z_all = np.concatenate(rows).astype(float) @ whiten
     first = np.concatenate([[0], np.flatnonzero(np.diff(bags)) + 1])
     clean = np.flatnonzero(y[bags] < 0)
     top = first.copy()
@@ -361,10 +357,10 @@ def score_texts(rows: DataFrame, model: Model | None) -> DataFrame:
     return _over(rows.select("id", "text"), sent, name, rest.score, f"id {kind}, score double", ["id", "score"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, fit_rows: int = FIT_ROWS) -> Model | None:
-    """The model of the labelled rows outside the held fold. The ids are chosen first, so that only the texts of these are moved."""
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, out: int = 2, fit_rows: int = FIT_ROWS) -> Model | None:
+    """The model of the labelled rows outside the fold `out`. The ids are chosen first, so that only the texts of these are moved."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
-    marks = marks.where(fold(F.col("doc_id"), folds) != held).select(F.col("doc_id").alias("label_id"), "toxic")
+    marks = marks.where(fold(F.col("doc_id"), folds) != out).select(F.col("doc_id").alias("label_id"), "toxic")
     rows = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null")
     known = rows.select("id").join(marks, F.col("id") == F.col("label_id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
     known = saved(known, "marks")
@@ -377,10 +373,10 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, fit
     return train(saved(labelled.repartition(16), "labelled"), float(share))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, cut: float = CUT) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; learns from labelled rows outside the held fold."""
-    scored = score_texts(docs.select(F.col("doc_id").alias("id"), "text"), learn(docs, labels, folds, held))
-    return scored.select(F.col("id").alias("doc_id"), (fold(F.col("id"), folds) == held).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, out: int = 2, cut: float = CUT) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row; learns from labelled rows outside the fold `out`."""
+    scored = score_texts(docs.select(F.col("doc_id").alias("id"), "text"), learn(docs, labels, folds, out))
+    return scored.select(F.col("id").alias("doc_id"), (fold(F.col("id"), folds) == out).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
