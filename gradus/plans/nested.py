@@ -245,7 +245,7 @@ def calendar_links(spark, d):
 def reaction_stream(spark, d):
     """The events as a stream: each micro-batch writes its counters, the last of a key counts."""
     kind = spark.read.parquet(f"{d}/events.parquet").schema
-    rows = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = spark.readStream.schema(kind).parquet(f"{d}/events.parquet*")  # a pattern, as a stream reads no single file
     rows = rows.select(F.col("user_id").alias("id"), F.col("event_type").alias("unified"), F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("delta"), F.unix_micros(F.col("ts").cast("timestamp")).alias("pos"), F.col("event_id").alias("pos_id"))
     out = new_path(spark, "reactions")
     query = X.upsert(X.stream_counts(rows), out, new_path(spark, "reactions-log"))
