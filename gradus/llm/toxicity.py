@@ -94,28 +94,34 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Kernel:
-    """Squared kernel values of words with fixed landmarks, by one table over the codes that landmarks have."""
+    """Squared kernel values of words with fixed landmarks, by one table over the codes that landmarks have: of each code the landmarks that have it."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
         who, what, value = features(landmarks)
-        used, at = np.unique(what, return_inverse=True)
+        by_code = np.argsort(what, kind="stable")
+        used, count = np.unique(what, return_counts=True)
         self.place = np.full(1 << 18, -1, np.int32)
         self.place[used] = np.arange(len(used))
-        self.table = np.zeros((len(used), len(landmarks)), np.float32)
-        self.table[at, who] = value
+        self.who, self.value, self.count = who[by_code], value[by_code], count
+        self.first = np.cumsum(count) - count
 
     def rows(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        step = max(20, 150_000 // max(1, len(self.landmarks)))  # bounds what is looked up at once
+        m = len(self.landmarks)
+        out = np.zeros((len(words), m), np.float32)
+        step = max(20, 150_000 // max(1, m))  # bounds what is looked up at once
         for lo in range(0, len(words), step):
-            who, what, value = features(words[lo : lo + step])
+            some = words[lo : lo + step]
+            who, what, value = features(some)
             place = self.place[what]
             hit = np.flatnonzero(place >= 0)
             if len(hit):
-                who = who[hit]
-                first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-                out[lo + who[first]] = np.add.reduceat(self.table[place[hit]] * value[hit, None].astype(np.float32), first, axis=0)
+                place = place[hit]
+                count = self.count[place]
+                ends = np.cumsum(count)
+                at = np.arange(ends[-1]) + np.repeat(self.first[place] - ends + count, count)
+                pair = np.repeat(who[hit] * m, count) + self.who[at]
+                out[lo : lo + len(some)] = np.bincount(pair, np.repeat(value[hit], count) * self.value[at], len(some) * m).reshape(-1, m)
         out[out < LEAST] = 0
         return out * out
 

@@ -364,6 +364,24 @@ def test_toxicity(spark):
     assert "idiot" in toxicity.units("you i d i o t !")
 
 
+def test_kernel_rows_equal_plain_products():
+    """Each word's product with each landmark, from the pairs of code and landmark that there are, not from a table of all."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeilostné") for _ in range(rng.randint(1, 9))) for _ in range(400)] + [""]
+    marks = words[:30]
+
+    def plain(w):
+        codes = toxicity.features([w])
+        return dict(zip(codes[1].tolist(), codes[2].tolist(), strict=True))
+
+    k = toxicity.Kernel(marks)
+    fs, fm = [plain(w) for w in words], [plain(w) for w in marks]
+    want = np.array([[sum(v * m.get(c, 0) for c, v in f.items()) for m in fm] for f in fs])
+    want[want < toxicity.LEAST] = 0
+    assert np.allclose(k.rows(words), want**2, atol=1e-6) and (want > 0).any()
+    assert len(k.value) == sum(map(len, fm))
+
+
 def test_stages_tell_texts_of_one_id_apart(spark):
     texts = [prose(60) for _ in range(6)]
     rows = [(None, t) for t in texts[:4]] + [(7, texts[4]), (7, texts[5]), (8, texts[5]), (None, None)]
