@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,14 +36,25 @@ def held(name: str, make):
     """What a worker remembers between tasks, made once under a name. It holds one such thing at a time: a worker serves many operators."""
     if name not in _HELD:
         release()
-        WORDS.clear()
         _HELD[name] = make()
     return _HELD[name]
 
 
-def release() -> None:
-    """Forget what other operators have left in this worker."""
+def release(words: bool = True) -> None:
+    """Forget what other operators have left in this worker, with the hashes of words or without."""
     _HELD.clear()
+    if words:
+        WORDS.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """What was freed goes back to the system: else the C library keeps it for this worker, which may live as long as the application."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def fold(doc_id: Column, n: int) -> Column:

@@ -110,7 +110,7 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(vertex, text) -> vertex, bands, regions (32-bit, distinct); a text is signed once in a task."""
     seen: set[int] = set()
-    release()
+    release(words=False)
     for batch in batches:
         vertices, texts = batch.column(0).to_pylist(), batch.column(1)
         lo = 0

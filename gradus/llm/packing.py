@@ -16,17 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, held, mix, saved
+from .common import MIX_A, give_back, held, mix, saved
 
 WINDOW = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
-SLICE = 3_000_000  # characters that are looked at together
+SLICE = 1_500_000  # characters that are looked at together: of each some 50 bytes are held
 LONG = 4096  # characters of the longest run that is not left to the tokenizer
 SPACE, LETTER, DIGIT, MARK, ODD = range(5)
 _U = np.uint64
@@ -163,6 +164,16 @@ class RunIds:
         return out
 
 
+def slices(texts: pa.Array, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most about `most` bytes, one text at least; none of them is read for that."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, lo = np.cumsum(size), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[lo] + (most or SLICE), "right")))
+        yield lo, hi
+        lo = hi
+
+
 def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Pass 1: a row for each document: part, start_in_part, n_ids, ids (zstd, 32-bit little-endian), with the id column as `doc`."""
     end = np.asarray([end_id], "<u4").tobytes()
@@ -170,15 +181,10 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, start, press = held(f"tokenizer {path}", lambda: RunIds(path)), 0, zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            ids, texts, parts = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
-            lo = 0
-            while lo < len(texts):  # bounded slices: a batch of very long texts is emitted piece by piece
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size < SLICE):
-                    size += len(texts[hi] or "")
-                    hi += 1
+            ids, texts, parts = batch.column(0), batch.column(1), batch.column(2)
+            for lo, hi in slices(texts):  # a batch of very long texts is emitted piece by piece
                 starts, counts, blobs = [], [], []
-                for got in words.encode([t or "" for t in texts[lo:hi]]):
+                for got in words.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()]):
                     starts.append(start)
                     counts.append(len(got) + 1)
                     start += len(got) + 1
@@ -187,7 +193,7 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     [ids.slice(lo, hi - lo), parts.slice(lo, hi - lo), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())],
                     names=["doc", "part", "start_in_part", "n_ids", "ids"],
                 )
-                lo = hi
+                give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))

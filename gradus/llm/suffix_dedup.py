@@ -437,7 +437,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """row (a struct of all columns of docs), text, and n_removed, n_spans, kept_sha256, spans (null: nothing is removed)."""
+    """row (a struct of all columns of docs, its text null), text, and n_removed, n_spans, kept_sha256, spans (null: nothing is removed)."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(F.xxhash64("text").alias("u"), raw.alias("raw"))
     runs = repeats(rows)
@@ -448,7 +448,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     done = saved(done, "removed")
     discard(runs)
     free_shuffles(docs.sparkSession)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"), F.xxhash64("text").alias("u"))
+    columns = [F.lit(None).cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]  # the text moves once
+    whole = docs.select(F.struct(*columns).alias("row"), F.col("text").alias("text"), F.xxhash64("text").alias("u"))
     return whole.join(done.withColumnRenamed("u", "du"), F.col("u") == F.col("du"), "left").drop("u", "du")
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, first_by_hash, fold, held, saved
+from .common import ascii_words, first_by_hash, fold, held, release, saved
 
 FIT_ROWS, PER_DOC, TOP = 12_000, 6, 5
 LANDMARKS, NEUTRAL, CANDIDATES = 64, 20, 2000
@@ -194,7 +194,7 @@ def _sentences(known: Known, words: list[str], table: np.ndarray) -> tuple[np.nd
 
 
 def _over(rows: DataFrame, kernel_in, name: str, result, kind: str, names: list[str]) -> DataFrame:
-    """Run result(sentence rows, number of sentences) over every text; rows: id, text, then columns passed on."""
+    """Run result(sentence rows, number of sentences) over every text; rows: id, text, then columns passed on. The text is passed on if it is in names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held(f"toxicity {name}", lambda: Known(kernel_in.value))
@@ -209,7 +209,7 @@ def _over(rows: DataFrame, kernel_in, name: str, result, kind: str, names: list[
                 known.learn(part)
                 table = known.table()
                 got = [result(*_sentences(known, w, table)) for w in part]
-                keep = [b.column(i).slice(lo, hi - lo) for i in range(b.num_columns) if i != 1]
+                keep = [b.column(i).slice(lo, hi - lo) for i in range(b.num_columns) if i != 1 or "text" in names]
                 yield pa.RecordBatch.from_arrays([*keep, pa.array(got)], names=names)
                 lo = hi
 
@@ -219,6 +219,7 @@ def _over(rows: DataFrame, kernel_in, name: str, result, kind: str, names: list[
 def _word_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(toxic, text) -> word, toxic documents with it, clean documents with it."""
     bad, good = Counter(), Counter()
+    release()
 
     def flush() -> pa.RecordBatch:
         words = list(bad.keys() | good.keys())
@@ -352,15 +353,16 @@ def train(labelled: DataFrame, toxic_share: float = 0.5) -> Model | None:
     return model
 
 
-def score_texts(rows: DataFrame, model: Model | None) -> DataFrame:
-    """rows: id, text -> id, score."""
-    kind = rows.schema["id"].dataType.simpleString()
+def score_texts(rows: DataFrame, model: Model | None, with_text: bool = False) -> DataFrame:
+    """rows: id, text -> id, score (with_text: id, text, score)."""
+    names = ["id", "text"] if with_text else ["id"]
     if model is None:
-        return rows.select("id", F.lit(0.0).alias("score"))
+        return rows.select(*names, F.lit(0.0).alias("score"))
+    kind = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
     sent = rows.sparkSession.sparkContext.broadcast(model.kernel)
     name = xxhash.xxh64_hexdigest("|".join(model.kernel.landmarks))
     rest = Model(None, model.weights.astype(float), model.bias, model.document)  # the kernel is sent apart
-    return _over(rows.select("id", "text"), sent, name, rest.score, f"id {kind}, score double", ["id", "score"])
+    return _over(rows.select("id", "text"), sent, name, rest.score, f"{kind}, score double", [*names, "score"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, out: int = 2, fit_rows: int = FIT_ROWS) -> Model | None:
@@ -387,6 +389,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, out: int
 
 def clean_documents(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("id"), F.col("text").alias("text"))
-    scored = score_texts(whole, learn(docs, labels)).where(F.col("score") < cut)
-    return scored.select(*[F.col("id")[c].alias(c) for c in docs.columns])
+    others = [c for c in docs.columns if c != "text"]  # the text goes to the workers once
+    whole = docs.select(F.struct(F.lit(0).alias("text"), *[F.col(f"`{c}`") for c in others]).alias("id"), F.col("text").alias("text"))
+    scored = score_texts(whole, learn(docs, labels), with_text=True).where(F.col("score") < cut)
+    return scored.select(*[F.col("text") if c == "text" else F.col("id")[c].alias(c) for c in docs.columns])

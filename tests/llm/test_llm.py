@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,27 @@ def test_packing_round_trip(spark, docs):
     assert not any(by_len.values())
 
 
+def test_tokenising_holds_a_slice_at_a_time():
+    """Memory follows the slice, not the batch; slices are whole texts and leave none out."""
+    import tracemalloc
+
+    rng = random.Random(6)
+    texts = [None, "", "é" * 10, *(" ".join(rng.choice(VOCAB) for _ in range(1000)) for _ in range(1500)), "word " * 500_000, None]
+    col = pa.array(texts, pa.string())
+    parts = list(packing.slices(col))
+    assert [i for lo, hi in parts for i in range(lo, hi)] == list(range(len(texts))) and len(parts) > 4
+    assert all(hi == lo + 1 or sum(len((t or "").encode()) for t in texts[lo:hi]) <= packing.SLICE for lo, hi in parts)
+    assert list(packing.slices(col.slice(0, 0))) == []
+    words = packing.RunIds(packing.tokenizer_path())
+    tracemalloc.start()
+    for lo, hi in parts[:-1]:
+        if hi - lo > 1:
+            words.encode([t or "" for t in col.slice(lo, hi - lo).to_pylist()])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6, peak
+
+
 def test_word_ids_equal_the_tokenizer():
     tok = packing.RunIds(packing.tokenizer_path())
     rng = random.Random(2)
@@ -382,6 +404,40 @@ def test_kernel_rows_equal_plain_products():
     assert len(k.value) == sum(map(len, fm))
 
 
+def test_workers_give_back_what_they_held():
+    """What one operator leaves in a worker goes back to the system when the next begins: the pipeline's stages share workers."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import re
+from gradus.llm import common
+size = lambda: int(re.search(r"Private_Dirty:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+common.release()
+before = size()
+common.held("a", lambda: [bytes(1000) for _ in range(200_000)])
+common.hashed([f"w{i}" for i in range(200_000)])
+keep = [bytes(2000) for _ in range(10)]
+assert size() > before + 150
+common.release()
+assert not common.WORDS and size() < before + 60, (before, size())
+"""
+    if not os.path.exists("/proc/self/smaps_rollup"):
+        pytest.skip("memory is read from /proc")
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+
+def test_texts_go_to_the_workers_once(spark, docs):
+    """Rows that stages carry beside the text do not hold it a second time."""
+    assert suffix_dedup.dedup(docs).where("row.text is not null").count() == 0
+    rows = [(i, "clean words only" if i % 2 else "you zugbork there", "x") for i in range(80)]
+    some = spark.createDataFrame(rows, "doc_id long, text string, score string").select("score", "text", "doc_id")
+    lab = spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i in range(80)], "doc_id long, quality int, toxic int")
+    kept = toxicity.clean_documents(some, lab)
+    assert kept.columns == some.columns and sorted(kept.collect()) == sorted(r for r in some.collect() if "clean" in r.text)
+
+
 def test_stages_tell_texts_of_one_id_apart(spark):
     texts = [prose(60) for _ in range(6)]
     rows = [(None, t) for t in texts[:4]] + [(7, texts[4]), (7, texts[5]), (8, texts[5]), (None, None)]
