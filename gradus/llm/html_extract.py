@@ -3,9 +3,11 @@
 Tokens of a page are its tags with their path (and class) and its text nodes. Across the pages of a host each token has an
 occurrence vector (how often on each page), kept as a fingerprint (a sum of hashes of page and count) that is added up in the cluster, so no
 host is ever gathered. Tokens with the same vector form an equivalence class. A class is valid if it is on SUPPORT of the host's pages
-and on SUPPORT of its different articles (bitmaps of hashes of the article text, so copies of one article don't make it a template). The
-valid classes of a host make its template: their tokens in the order of their mean places, those of smaller classes nested between those of the
-class that is on all pages. On a page the template is what of it comes in that order (the longest increasing run; a token out of order is no
+and on SUPPORT of its different articles (bitmaps of hashes of the article text, so copies of one article don't make it a template).
+Valid classes are then held against the pages: tokens that break the order of the class (of mean places) on more than 1 - SUPPORT of
+their pages are split off, and so are those of other classes that are not nested, that is in one same gap between tokens of the class
+that is on all pages, on SUPPORT of theirs. What is left is the template, its tokens in order. Roles are told apart by path and text
+alone: tokens that come again are not differentiated anew by the classes found. On a page the template is what of it comes in that order (the longest increasing run; a token out of order is no
 template there). The slots are what lies between its tags; text of the template is no part of them.
 
 Of the slots, the article's are told by the page's main container (article, main, role main). A page without one takes, if its
@@ -230,9 +232,54 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUP
     fit = (F.col("k") >= min_pages) & (F.col("support") >= support * F.col("n")) & (F.col("spread") >= support * F.col("k"))
     valid = classes.join(size, "host").where(fit).select("host", "vector")
     inside = got.where(F.col("token") != PAGE).join(valid, ["host", "vector"])
+    root = got.where(F.col("token") == PAGE).select("host", F.col("vector").alias("root"))
+    inside = saved(inside.join(root, "host").select("host", "token", "place", (F.col("vector") == F.col("root")).alias("root")), "classes")
     # tokens on nearly all pages of a host: few more than a page has
-    listed = inside.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("t"))
-    return listed.select("host", F.expr("transform(t, x -> x.token)").alias("tokens"))
+    listed = lambda df: df.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "token", "root"))).alias("t"))
+    asked = listed(inside).select("host", F.expr("transform(t, x -> x.token)").alias("tokens"), F.expr("transform(t, x -> x.root)").alias("roots"))
+    seen = pages.select("host", "html").join(asked, "host").mapInArrow(_places, "host string, token long, before long, after long, n long, ordered long")
+    seen = saved(seen.groupBy("host", "token", "before", "after").agg(F.sum("n").alias("n"), F.sum("ordered").alias("ordered")), "places")
+    judged = seen.groupBy("host", "token").agg(F.sum("n").alias("n"), F.sum("ordered").alias("ordered"))
+    for side in ("before", "after"):  # a neighbour may itself change places, so one of the two has to stay
+        judged = judged.join(seen.groupBy("host", "token", side).agg(F.sum("ordered").alias(side + "_n")).groupBy("host", "token").agg(F.max(side + "_n").alias(side)), ["host", "token"])
+    judged = inside.join(judged, ["host", "token"])
+    kept = judged.where(F.col("ordered") >= support * F.col("n")).where(F.col("root") | (F.greatest("before", "after") >= support * F.col("ordered")))
+    return listed(kept.select("host", "place", "token", "root")).select("host", F.expr("transform(t, x -> x.token)").alias("tokens"))
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html, tokens, roots) -> host, token, the tokens of the class on all pages that come before and after it, pages, pages in order."""
+    seen: Counter = Counter()
+    last: tuple[str | None, dict[int, int], set[int]] = (None, {}, set())
+
+    def flush() -> pa.RecordBatch:
+        keys, n = list(seen), list(seen.values())
+        seen.clear()
+        ordered = [x * k[4] for k, x in zip(keys, n, strict=True)]
+        cols = [pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (1, 2, 3)), pa.array(n, pa.int64()), pa.array(ordered, pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, names=["host", "token", "before", "after", "n", "ordered"])
+
+    for b in batches:
+        for i in range(b.num_rows):
+            host = b.column(0)[i].as_py()
+            if host != last[0]:
+                tokens = b.column(2)[i].as_py()
+                last = (host, {t: k for k, t in enumerate(tokens)}, {t for t, x in zip(tokens, b.column(3)[i].as_py(), strict=True) if x})
+            _, rank, root = last
+            first = list(dict.fromkeys(t for path, text, *_ in nodes(b.column(1)[i].as_py() or "") if (t := path if text is None else _token(path, _plain(text))) in rank))
+            firm = _in_order([t for t in first if t in root], rank)  # the others are judged by the gap they lie in
+            edges, at, found = [PAGE, *(t for t in first if t in firm), PAGE], 0, []
+            for t in first:
+                here = edges[at + 1] == t
+                found.append((t, edges[at], edges[at + 1 + here]))
+                at += here
+            fits = [t for t, lo, hi in found if t in firm or (t not in root and rank.get(lo, -1) < rank[t] < rank.get(hi, len(rank)))]
+            kept = _in_order(fits, rank)
+            for t, lo, hi in found:
+                seen[host, t, lo, hi, t in kept] += 1
+        if len(seen) > 100_000:
+            yield flush()
+    yield flush()
 
 
 def _in_order(tokens: list[int], rank: dict[int, int]) -> set[int]:

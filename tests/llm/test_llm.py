@@ -551,6 +551,24 @@ def test_extract_without_a_main_container(spark):
     assert all(len(html_extract.main_text(h).split("\n")) > 2 for _, _, h in rows)
 
 
+def test_templates_keep_only_tokens_in_order_and_nested(spark):
+    """Tokens of a class that change places from page to page, or lie in another gap, are no template."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        a, b = ("<b class=q1>One</b>", "<b class=q2>Two</b>") if i % 2 else ("<b class=q2>Two</b>", "<b class=q1>One</b>")
+        guest = "<i class=g>Guest</i>" if i % 20 else ""  # on 95 % of pages, on a third of these at the end
+        rows.append((i, "h.example", f"<html><body><div class=x1>Top</div>{a}{b}{guest if i % 3 else ''}<div class=x2>{prose(20, rng)}</div><div class=x3>End</div>{'' if i % 3 else guest}</body></html>"))
+    pages = spark.createDataFrame(rows, "uid long, host string, html string")
+    got = html_extract.templates(pages).collect()
+    assert len(got) == 1
+    nodes = [(path, text) for path, text, *_ in html_extract.nodes(rows[1][2])]
+    token = {text: html_extract._token(path, text) for path, text in nodes if text}
+    tokens = got[0].tokens
+    assert tokens.index(token["Top"]) < tokens.index(token["End"]) and token["Guest"] not in tokens
+    assert not {token["One"], token["Two"]} <= set(tokens)
+
+
 def test_extract_edges(spark):
     deep = "<div>" * 20000 + "<article><p>In</p></article>" + "</div>" * 20000 + "<nav>" + "<i>" * 500 + "menu" + "</i>" * 500 + "</nav>"
     named = "<article><h1 class='article-header'>H</h1><p class='share-price'>S</p><p class='ad'>A</p><div class='share-bar'>B</div><p>x &lt;y&gt; &#233;</p></article>"
